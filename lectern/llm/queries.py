@@ -15,8 +15,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_groups(read(spark, sf_dir, "documents"), keep="max")
 
 
+def held_out(divisor: int, doc_id="doc_id"):
+    """crc32 of the identifier as text leaves remainder 1."""
+    return F.crc32(F.col(doc_id).cast("string")) % divisor == 1
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; no SQL: held-out accuracy is tested."""
+    from .quality import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out(3))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_quality": op6_quality,
 }
 
 ORACLE_SQL = {
