@@ -181,66 +181,6 @@ def fit(rows: DataFrame, x_col: str = "x", label_col: str = "label", shrinkage:
     return model
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability of class 1, strictly between 0 and 1 so that order survives far from the boundary."""
-        t = self.log_odds(x)
-        t = 30 * t / (30 + np.abs(t))  # keeps sign and order; |t| below 30
-        return 1 / (1 + np.exp(-t))
-
-
-def fit(rows: DataFrame, x_col: str = "x", label_col: str = "label", shrinkage: float = 0.2) -> QuadraticModel:
-    """Fit on every row with label 0 or 1 (others, and null, are left out). ``shrinkage``: weight of the pooled
-    diagonal in each class's covariance. With no row of one class, that class gets the pooled figures; with no rows
-    at all, every score is one half."""
-    p = len(FEATURES)
-
-    def moments(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        total = {k: np.zeros(1 + p + p * p) for k in (0, 1)}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
-            y = b.column(1).to_numpy(zero_copy_only=False)
-            for k in (0, 1):
-                v = x[y == k]
-                total[k] += np.concatenate([[len(v)], v.sum(0), (v.T @ v).ravel()])
-        k = pa.array(np.repeat([0, 1], 1 + p + p * p), pa.int32())
-        i = pa.array(np.tile(np.arange(1 + p + p * p), 2), pa.int32())
-        yield pa.RecordBatch.from_arrays([k, i, pa.array(np.concatenate([total[0], total[1]]))], ["k", "i", "v"])
-
-    known = rows.where(F.col(label_col).isin(0, 1)).select(F.col(x_col).alias("x"), F.col(label_col).cast("int").alias("y"))
-    sums = known.mapInArrow(moments, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v"))
-    got = np.zeros((2, 1 + p + p * p))
-    for k, i, v in sums.collect():  # 2 * (1 + p + p*p) numbers
-        got[k, i] = v
-    n = got[:, 0]
-    if not n.sum():
-        one = np.eye(p)
-        return QuadraticModel(np.zeros(p), np.ones(p), [np.zeros(p)] * 2, [one] * 2, [0.0, 0.0])
-    both = got.sum(0)
-    centre = both[1 : 1 + p] / both[0]
-    second = both[1 + p :].reshape(p, p) / both[0] - np.outer(centre, centre)
-    scale = np.sqrt(np.maximum(np.diag(second), 1e-12))
-    scale[scale < 1e-6] = 1
-    model = QuadraticModel(centre, scale)
-    pooled = np.diag(np.maximum(np.diag(second) / scale**2, 1e-3))
-    for k in (0, 1):
-        if n[k]:
-            m = (got[k, 1 : 1 + p] / n[k] - centre) / scale
-            s = (got[k, 1 + p :].reshape(p, p) / n[k] - np.outer(got[k, 1 : 1 + p], got[k, 1 : 1 + p]) / n[k] ** 2) / np.outer(scale, scale)
-        else:
-            m, s = np.zeros(p), pooled
-        weight = (shrinkage * n[k] + p) / (n[k] + p)  # few rows: more shrinkage
-        s = (1 - weight) * s + weight * pooled
-        factor = np.linalg.cholesky(s)
-        model.mean.append(m)
-        model.inverse.append(np.linalg.inv(factor))
-        model.constant.append(float(np.log((n[k] + 1) / (n.sum() + 2)) - np.log(np.diag(factor)).sum()))
-    return model
-
-
 def score(features: DataFrame, model: QuadraticModel, id_col: str = "id") -> DataFrame:
     """(id, score double) of each feature row."""
     p = len(FEATURES)
