@@ -27,9 +27,35 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out(3))
 
 
+def public_vocabulary(name: str) -> str:
+    """Where an installed public vocabulary lies: a parameter of the operators, never part of the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def word_encoder(path: str):
+    """Makes the encoder in the Python worker, where its cache lasts."""
+
+    def make():
+        from .wordids import word_ids
+
+        return word_ids(path).encode
+
+    return make
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 4096 ids; no SQL: the ids and the gapless windows are tested."""
+    from .packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), word_encoder(public_vocabulary("word_bpe_49k.json")))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality": op6_quality,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL = {
