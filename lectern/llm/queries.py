@@ -52,10 +52,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), word_encoder(public_vocabulary("word_bpe_49k.json")))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeat a window of 13 from a document with a smaller doc_id go."""
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality": op6_quality,
     "op8_packing": op8_packing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL = {
