@@ -48,3 +48,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def held_out(divisor: int, doc_id: str = "doc_id") -> Column:
+    """crc32 of the identifier as text leaves remainder 1."""
+    return F.crc32(F.col(doc_id).cast("string")) % divisor == 1
+
+
+def public_vocabulary(name: str) -> str:
+    """Where an installed public vocabulary lies: a parameter of the operators, never part of the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def word_encoder(path: str):
+    """Makes the encoder in the Python worker, where its cache lasts."""
+
+    def make():
+        from .wordids import word_ids
+
+        return word_ids(path).encode
+
+    return make

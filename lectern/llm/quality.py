@@ -203,6 +203,26 @@ def label_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "qual
     return votes.select("id", (F.col("v") > 0.5).cast("int").alias("label"))
 
 
+def model_of(statistics_: DataFrame, labels: DataFrame, held_out=None, label_col: str = "quality", shrinkage: float = 0.2) -> QuadraticModel:
+    """The model of (id, x) rows, from the labels of those where ``held_out`` (a condition on doc_id) doesn't hold."""
+    test = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
+    train = statistics_.withColumnRenamed("id", "doc_id").where(~test).withColumnRenamed("doc_id", "id")
+    return fit(train.join(label_rows(labels, "doc_id", label_col), "id"), shrinkage=shrinkage)
+
+
+def keep_good(docs: DataFrame, model: QuadraticModel, text_col: str = "text", threshold: float = 0.5, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more: a scan without any shuffle."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for t in chunks(batches, text_col, chunk_bytes):
+            good = model.score(statistics(utf8(t[text_col]))) >= threshold
+            yield from t.filter(pa.array(good)).to_batches()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out=None, label_col: str = "quality", shrinkage: float = 0.2) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``.
 
@@ -211,7 +231,6 @@ def classify(docs: DataFrame, labels: DataFrame, held_out=None, label_col: str =
     Only the text gives inputs."""
     test = F.coalesce(held_out if held_out is not None else F.lit(False), F.lit(False))
     x = materialize(document_statistics(docs), "quality-statistics")
-    train = x.withColumnRenamed("id", "doc_id").where(~test).withColumnRenamed("doc_id", "id")
-    model = fit(train.join(label_rows(labels, "doc_id", label_col), "id"), shrinkage=shrinkage)
+    model = model_of(x, labels, held_out, label_col, shrinkage)
     out = score(x, model).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", test.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import read
+from .common import held_out, public_vocabulary, read, word_encoder
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +15,6 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_groups(read(spark, sf_dir, "documents"), keep="max")
 
 
-def held_out(divisor: int, doc_id="doc_id"):
-    """crc32 of the identifier as text leaves remainder 1."""
-    return F.crc32(F.col(doc_id).cast("string")) % divisor == 1
-
-
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; no SQL: held-out accuracy is tested."""
     from .quality import classify
@@ -27,22 +22,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), held_out(3))
 
 
-def public_vocabulary(name: str) -> str:
-    """Where an installed public vocabulary lies: a parameter of the operators, never part of the repository."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def word_encoder(path: str):
-    """Makes the encoder in the Python worker, where its cache lasts."""
-
-    def make():
-        from .wordids import word_ids
-
-        return word_ids(path).encode
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    from .jaccard_join import similarity_classes
 
-    return make
+    return similarity_classes(read(spark, sf_dir, "documents"), n=4, percent=85)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +44,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality": op6_quality,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
 }

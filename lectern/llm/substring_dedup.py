@@ -239,10 +239,11 @@ def _filter(marked: DataFrame) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, with_text: bool = False, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space and, with
-    ``with_text``, kept_text (those words; where none is removed, the text itself, unchanged).
+    ``with_text``, kept_text (those words; where none is removed, the text itself, unchanged). ``carry``: further columns
+    of the input to return.
 
     Null text has no words. Documents shorter than a window lose nothing. Rows that repeat an identifier never remove
     from each other; a null identifier counts as larger than any other. Identifiers are whole numbers. Other columns
@@ -251,9 +252,10 @@ def remove_repeats(
         raise ValueError(f"window: at least {PERIOD}")
     spark = docs.sparkSession
     n_buckets = 2 * partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes_col(F.col(text_col).cast("string")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes_col(F.col(text_col).cast("string")).alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in carry)).alias("rest"))
     rows = rows.withColumn("th", F.xxhash64("text"))
-    shared = _marked(rows, _anchors(n_buckets, window, chunk_bytes), False, "shared-anchors")
+    rest_type = rows.schema["rest"].dataType.simpleString()
+    shared = _marked(rows.select("id", "th", "text"), _anchors(n_buckets, window, chunk_bytes), False, "shared-anchors")
     bits = spark.sparkContext.broadcast(_filter(shared))
 
     def settle(batches: Iterator) -> Iterator:
@@ -270,13 +272,13 @@ def remove_repeats(
                 sha.append(None if o else hashlib.sha256(b" ".join(words)).hexdigest())
             keep = [x if o or with_text else None for x, o in zip(texts, open_, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [t["id"].combine_chunks(), t["th"].combine_chunks(), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(keep, pa.binary()).cast(pa.string())],
-                ["id", "th", "n_words", "kept_sha256", "text"],
+                [t["id"].combine_chunks(), t["th"].combine_chunks(), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(keep, pa.binary()).cast(pa.string()), t["rest"].combine_chunks()],
+                ["id", "th", "n_words", "kept_sha256", "text", "rest"],
             )
 
     bit = F.pmod(F.xxhash64("id", "th"), F.lit(1 << FILTER_BITS)).alias("bit")
-    half = materialize(rows.select("id", "th", "text", bit).mapInArrow(settle, "id long, th long, n_words long, kept_sha256 string, text string"), "settled")
-    open_ = half.where("n_words is null").select("id", "th", "text")
+    half = materialize(rows.select("id", "th", "text", bit, "rest").mapInArrow(settle, f"id long, th long, n_words long, kept_sha256 string, text string, rest {rest_type}"), "settled")
+    open_ = half.where("n_words is null").select("id", "th", "text", "rest")
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
     with_anchors = open_.join(shared, same(open_, shared)).select(open_["id"], open_["th"], "text", "at")
     later = _marked(with_anchors, _windows(n_buckets, window, chunk_bytes), True, "marked-windows")
@@ -300,12 +302,13 @@ def remove_repeats(
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append((left if gone[-1] else x) if with_text else None)
             yield pa.RecordBatch.from_arrays(
-                [t["id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
-                ["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                [t["id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), t["rest"].combine_chunks()],
+                ["id", "n_words", "n_removed", "kept_sha256", "kept_text", "rest"],
             )
 
-    opened = open_.join(later, same(open_, later), "left").select(open_["id"], "text", "at")
-    out = opened.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    rest = half.where("n_words is not null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("text").alias("kept_text"))
-    out = out.unionByName(rest).withColumnRenamed("id", id_col)
-    return out if with_text else out.drop("kept_text")
+    opened = open_.join(later, same(open_, later), "left").select(open_["id"], "text", "at", "rest")
+    out = opened.mapInArrow(cut, f"id long, n_words long, n_removed long, kept_sha256 string, kept_text string, rest {rest_type}")
+    rest = half.where("n_words is not null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("text").alias("kept_text"), "rest")
+    out = out.unionByName(rest)
+    made = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
+    return out.select(*made, *(F.col("rest").getField(c).alias(c) for c in carry))
