@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import held_out, public_vocabulary, read, word_encoder
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every 20th vector with all others."""
+    from .topk import quantise, top_k
+
+    rows = quantise(read(spark, sf_dir, "embeddings"))
+    return top_k(rows.where("id % 20 = 0"), rows, k=20)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents; the largest doc_id stays."""
     from .exact_dedup import content_groups
@@ -45,6 +53,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_topk": op1_topk,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
@@ -53,6 +62,17 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, r.vec_id, cast(list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v r on q.vec_id <> r.vec_id
+  where q.vec_id % 20 = 0),
+t as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from t where rank <= 20""",
     "op4_exact_dedup": """
 with n as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
