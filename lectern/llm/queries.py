@@ -16,6 +16,14 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows.where("id % 20 = 0"), rows, k=20)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC archives and back."""
+    from .warc import read_archives, write_archives
+
+    records = read_archives(write_archives(read(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents; the largest doc_id stays."""
     from .exact_dedup import content_groups
@@ -54,6 +62,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_topk": op1_topk,
+    "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
