@@ -25,6 +25,8 @@ def _byte_values(seed: int) -> np.ndarray:
 
 _VALUES = {seed: _byte_values(seed) for seed in (1, 2)}
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes hashed at once.
+_SLICE = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -74,17 +76,20 @@ class Words:
         self.hashes = self.hash(seed)
 
     def hash(self, seed: int = 1) -> np.ndarray:
-        n = len(self.buffer)
-        if not len(self.start):
-            return np.empty(0, dtype=U64)
-        with np.errstate(over="ignore"):
-            terms = _VALUES[seed][self.buffer]
-            terms *= _powers(_BASE, n)
-            np.cumsum(terms, out=terms)
-            last = terms[self.end - 1]
-            first = np.where(self.start > 0, terms[np.maximum(self.start - 1, 0)], U64(0))
-            poly = (last - first) * _powers(_INVERSE, n)[self.start]
-        return mix(poly + (self.end - self.start).astype(U64))
+        out = np.empty(len(self.start), dtype=U64)
+        i = 0
+        while i < len(out):  # slices of whole words keep the memory small, whatever the length of a text
+            base = int(self.start[i])
+            j = max(i + 1, int(np.searchsorted(self.end, base + _SLICE, side="right")))
+            start, end = self.start[i:j] - base, self.end[i:j] - base
+            with np.errstate(over="ignore"):
+                terms = _VALUES[seed][self.buffer[base : base + int(end[-1])]]
+                terms *= _powers(_BASE, len(terms))
+                np.cumsum(terms, out=terms)
+                before = np.where(start > 0, terms[start - 1], U64(0))
+                out[i:j] = (terms[end - 1] - before) * _powers(_INVERSE, len(terms))[start] + (end - start).astype(U64)
+            i = j
+        return mix(out)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offset)
