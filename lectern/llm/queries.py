@@ -16,6 +16,13 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows.where("id % 20 = 0"), rows, k=20)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all documents; no SQL: counts are tested against brute force, the model on held-out text."""
+    from .lm import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"), held_out(5))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through WARC archives and back."""
     from .warc import read_archives, write_archives
@@ -62,6 +69,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_topk": op1_topk,
+    "op2_lm_score": op2_lm_score,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality": op6_quality,
