@@ -227,15 +227,19 @@ def _marked(rows: DataFrame, start, by_id: bool, name: str) -> DataFrame:
     return materialize(home.dropDuplicates(["id", "th"]), name)
 
 
-def _filter(marked: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits (1 MB, whatever the input) in which the bit of every marked document is set.
-    It only saves shuffling texts that need no work; a false hit costs time alone."""
-    bit = F.pmod(F.xxhash64("id", "th"), F.lit(1 << FILTER_BITS))
-    words = marked.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(id, th), {1 << FILTER_BITS}) % 64))").alias("b"))
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    for w, b in words.groupBy("w").agg(F.bit_or("b")).collect():
-        out[w] = b
-    return out
+def _coded(rows: DataFrame) -> DataFrame:
+    """With the place (w) and the bit (m) of each document in the filter."""
+    bit = f"pmod(xxhash64(id, th), {1 << FILTER_BITS})"
+    return rows.withColumn("w", F.expr(f"shiftright({bit}, 6)")).withColumn("m", F.expr(f"shiftleft(1L, int({bit} % 64))"))
+
+
+def _split(rows: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that may be marked, and those that certainly are not, by a bitmap of 2**FILTER_BITS bits in 64-bit
+    words: at most 131072 rows, whatever the input. It only saves shuffling texts that need no work; a false hit costs
+    time alone."""
+    bits = _coded(marked.select("id", "th")).groupBy("w").agg(F.bit_or("m").alias("bits"))
+    both = _coded(rows).join(F.broadcast(bits), "w", "left").withColumn("hit", F.coalesce(F.col("m").bitwiseAND(F.col("bits")) != 0, F.lit(False)))
+    return both.where("hit").select(rows.columns), both.where("not hit").select(rows.columns)
 
 
 def remove_repeats(
@@ -250,37 +254,14 @@ def remove_repeats(
     play no part. An empty table gives an empty result."""
     if window < PERIOD:
         raise ValueError(f"window: at least {PERIOD}")
-    spark = docs.sparkSession
-    n_buckets = 2 * partitions(spark)
+    n_buckets = 2 * partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes_col(F.col(text_col).cast("string")).alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in carry)).alias("rest"))
     rows = rows.withColumn("th", F.xxhash64("text"))
     rest_type = rows.schema["rest"].dataType.simpleString()
     shared = _marked(rows.select("id", "th", "text"), _anchors(n_buckets, window, chunk_bytes), False, "shared-anchors")
-    bits = spark.sparkContext.broadcast(_filter(shared))
-
-    def settle(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for t in chunks(batches, "text", chunk_bytes):
-            bit = t["bit"].to_numpy()
-            open_ = (bits.value[bit >> 6] >> (bit & 63)) & 1 == 1
-            texts = utf8(t["text"])
-            n, sha = [], []
-            for x, o in zip(texts, open_, strict=True):
-                words = [] if o else x.split()
-                n.append(None if o else len(words))
-                sha.append(None if o else hashlib.sha256(b" ".join(words)).hexdigest())
-            keep = [x if o or with_text else None for x, o in zip(texts, open_, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [t["id"].combine_chunks(), t["th"].combine_chunks(), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(keep, pa.binary()).cast(pa.string()), t["rest"].combine_chunks()],
-                ["id", "th", "n_words", "kept_sha256", "text", "rest"],
-            )
-
-    bit = F.pmod(F.xxhash64("id", "th"), F.lit(1 << FILTER_BITS)).alias("bit")
-    half = materialize(rows.select("id", "th", "text", bit, "rest").mapInArrow(settle, f"id long, th long, n_words long, kept_sha256 string, text string, rest {rest_type}"), "settled")
-    open_ = half.where("n_words is null").select("id", "th", "text", "rest")
+    open_, settled = _split(rows, shared)
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
-    with_anchors = open_.join(shared, same(open_, shared)).select(open_["id"], open_["th"], "text", "at")
+    with_anchors = open_.select("id", "th", "text").join(shared, same(open_, shared)).select(open_["id"], open_["th"], "text", "at")
     later = _marked(with_anchors, _windows(n_buckets, window, chunk_bytes), True, "marked-windows")
 
     def cut(batches: Iterator) -> Iterator:
@@ -290,25 +271,29 @@ def remove_repeats(
             n, gone, sha, kept = [], [], [], []
             for x, at in zip(utf8(t["text"]), t["at"].to_pylist(), strict=True):
                 words = x.split()
+                if not at:
+                    n.append(len(words))
+                    gone.append(0)
+                    sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                    kept.append(x if with_text else None)
+                    continue
                 drop = np.zeros(len(words) + 1, dtype=np.int32)
-                if at:
-                    a = np.frombuffer(at, dtype="<u4").astype(np.int64)
-                    drop[a] += 1
-                    np.subtract.at(drop, a + window, 1)
+                a = np.frombuffer(at, dtype="<u4").astype(np.int64)
+                drop[a] += 1
+                np.subtract.at(drop, a + window, 1)
                 stay = np.cumsum(drop[:-1]) == 0
                 left = b" ".join([w for w, s in zip(words, stay.tolist(), strict=True) if s])
                 n.append(len(words))
                 gone.append(int(len(words) - stay.sum()))
                 sha.append(hashlib.sha256(left).hexdigest())
-                kept.append((left if gone[-1] else x) if with_text else None)
+                kept.append(left if with_text else None)
             yield pa.RecordBatch.from_arrays(
                 [t["id"].combine_chunks(), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), t["rest"].combine_chunks()],
                 ["id", "n_words", "n_removed", "kept_sha256", "kept_text", "rest"],
             )
 
     opened = open_.join(later, same(open_, later), "left").select(open_["id"], "text", "at", "rest")
+    opened = opened.unionByName(settled.select("id", "text", F.lit(None).cast("binary").alias("at"), "rest"))
     out = opened.mapInArrow(cut, f"id long, n_words long, n_removed long, kept_sha256 string, kept_text string, rest {rest_type}")
-    rest = half.where("n_words is not null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.col("text").alias("kept_text"), "rest")
-    out = out.unionByName(rest)
     made = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
     return out.select(*made, *(F.col("rest").getField(c).alias(c) for c in carry))
