@@ -38,6 +38,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_groups(read(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and back; no SQL: exact round trips and the library's own unigram are the test."""
+    from .unigram import encode_documents
+
+    return encode_documents(read(spark, sf_dir, "documents"), public_vocabulary("piece_bpe_32k.model"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; no SQL: held-out accuracy is tested."""
     from .quality import classify
@@ -72,6 +79,7 @@ QUERIES = {
     "op2_lm_score": op2_lm_score,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_quality": op6_quality,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
