@@ -73,6 +73,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents; no SQL: retrieval is by bands, tested against brute force."""
+    from .license_scan import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_topk": op1_topk,
@@ -84,6 +91,7 @@ QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL = {
