@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import pages, talk, terms
+
+QUERIES: dict = {**pages.Q, **terms.Q, **talk.Q}
+ORACLE_SQL: dict = {**pages.SQL, **terms.SQL, **talk.SQL}
