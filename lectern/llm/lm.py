@@ -89,29 +89,54 @@ def word_classes(t: Tokens, hot: np.ndarray, hot_class: np.ndarray) -> tuple[np.
     return cls, np.where(known, at, -1)
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
-    x = weights[slots[0]]
+def _exponentials(weights: np.ndarray, bias: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: sums of its features' weights, their exponentials, and the sum of these. Sums beyond 60 either way
+    count as 60, so nothing overflows."""
+    x = weights.take(slots[0], axis=0)
     for s in slots[1:]:
-        x += weights[s]
+        x += weights.take(s, axis=0)
     x += bias
-    x -= x.max(1, keepdims=True)
-    return x
+    np.clip(x, -60, 60, out=x)
+    e = np.exp(x)
+    return x, e, e @ np.ones(e.shape[1], dtype=np.float32)
+
+
+#: Runs of up to so many rows are summed row by row over all runs at once; longer ones each as a slice.
+_SHORT = 12
+
+
+def _run_sums(rows: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of runs of consecutive rows."""
+    out = rows.take(first, axis=0)
+    short = np.flatnonzero((size > 1) & (size <= _SHORT))
+    short = short[np.argsort(-size[short], kind="stable")]
+    many = np.searchsorted(-size[short], -np.arange(1, _SHORT + 1), side="left")  # runs longer than r
+    for r in range(1, _SHORT):
+        k = short[: many[r - 1]]
+        if not len(k):
+            break
+        out[k] += rows.take(first[k] + r, axis=0)
+    for k in np.flatnonzero(size > _SHORT).tolist():
+        np.add.reduce(rows[first[k] : first[k] + size[k]], axis=0, out=out[k])
+    return out
 
 
 def train_batch(weights, squares, used, bias, slots, cls, rate: float = 0.3) -> None:
-    """One update by the gradient of a batch's log-likelihood, steps scaled by past squares."""
-    p = np.exp(_logits(weights, bias, slots))
-    p /= p.sum(1, keepdims=True)
+    """One update by the gradient of a batch's log-likelihood, a slot's steps scaled by its past squares."""
+    _, p, total = _exponentials(weights, bias, slots)
+    p *= (1 / total)[:, None]
     p[np.arange(len(cls)), cls] -= 1
     for s in slots:
         order = np.argsort(s, kind="stable")
         ordered = s[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        u = ordered[first]
-        g = np.add.reduceat(p[order], first, axis=0)
-        squares[u] += g * g
-        weights[u] -= rate * g / np.sqrt(squares[u] + 1e-3)
-        used[u] += np.diff(first, append=len(s)).astype(np.float32)
+        u, size = ordered[first], np.diff(first, append=len(s))
+        g = _run_sums(p.take(order, axis=0), first, size)
+        now = squares[u] + np.einsum("ij,ij->i", g, g) / CLASSES
+        squares[u] = now
+        g *= (rate / np.sqrt(now + 1e-3))[:, None]
+        weights[u] = weights.take(u, axis=0) - g
+        used[u] += size.astype(np.float32)
 
 
 def class_log10(weights, bias, slots, cls) -> np.ndarray:
@@ -119,9 +144,9 @@ def class_log10(weights, bias, slots, cls) -> np.ndarray:
     out = np.empty(len(cls))
     for lo in range(0, len(cls), BATCH):
         hi = lo + BATCH
-        x = _logits(weights, bias, [s[lo:hi] for s in slots])
+        x, _, total = _exponentials(weights, bias, [s[lo:hi] for s in slots])
         y = cls[lo:hi]
-        out[lo:hi] = x[np.arange(len(y)), y] - np.log(np.exp(x).sum(1))
+        out[lo:hi] = x[np.arange(len(y)), y] - np.log(total)
     return out / np.log(10)
 
 
@@ -224,14 +249,14 @@ def fit(rows: DataFrame, words: DataFrame, rounds: int = 2, rate: float = 0.3, c
     bias = np.log((class_n + 0.5) / (class_n.sum() + 0.5 * CLASSES)).astype(np.float32)
     slots = 1 << SLOT_BITS
     model = Model(total, distinct, h, c, cls, share, bias, np.zeros((slots, CLASSES), dtype=np.float32))
-    squares = np.zeros((slots, 1), dtype=np.float32)
+    squares = np.zeros(slots, dtype=np.float32)
     for _ in range(rounds if total else 0):
         sent = spark.sparkContext.broadcast((model.hot, model.hot_class, model.bias, model.weights, squares))
 
         def update(batches: Iterator, sent=sent) -> Iterator:
             hot, hot_class, bias, start, before = sent.value
             weights, used = start.copy(), np.zeros(slots, dtype=np.float32)
-            squares = np.repeat(before, CLASSES, axis=1)
+            squares = before.copy()
             for t in chunks(batches, "text", chunk_bytes):
                 x = tokens(utf8(t["text"]))
                 cls, _ = word_classes(x, hot, hot_class)
@@ -240,7 +265,7 @@ def fit(rows: DataFrame, words: DataFrame, rounds: int = 2, rate: float = 0.3, c
                     train_batch(weights, squares, used, bias, [s[lo : lo + BATCH] for s in f], cls[lo : lo + BATCH], rate)
             change = (weights - start) * used[:, None]
             size = slots // BLOCKS
-            yield _batch([(i, used[i * size : (i + 1) * size].tobytes(), change[i * size : (i + 1) * size].tobytes(), (squares.mean(1)[i * size : (i + 1) * size] * used[i * size : (i + 1) * size]).astype(np.float32).tobytes()) for i in range(BLOCKS) if used[i * size : (i + 1) * size].any()], "block int, used binary, change binary, squares binary")
+            yield _batch([(i, used[i * size : (i + 1) * size].tobytes(), change[i * size : (i + 1) * size].tobytes(), (squares[i * size : (i + 1) * size] * used[i * size : (i + 1) * size]).tobytes()) for i in range(BLOCKS) if used[i * size : (i + 1) * size].any()], "block int, used binary, change binary, squares binary")
 
         def average(batches: Iterator) -> Iterator:
             held: dict[int, list] = {}
@@ -258,7 +283,7 @@ def fit(rows: DataFrame, words: DataFrame, rounds: int = 2, rate: float = 0.3, c
         size = slots // BLOCKS
         for i, _, change, square in rows.select("text").mapInArrow(update, schema).repartition("block").mapInArrow(average, schema).collect():  # the size of the weights
             model.weights[i * size : (i + 1) * size] += np.frombuffer(change, dtype=np.float32).reshape(size, CLASSES)
-            squares[i * size : (i + 1) * size, 0] = np.frombuffer(square, dtype=np.float32)
+            squares[i * size : (i + 1) * size] = np.frombuffer(square, dtype=np.float32)
         sent.unpersist()
     return model
 
