@@ -111,14 +111,15 @@ def _frequencies(profiles: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(n: int, percent: int, rank, chunk_bytes: int):
-    """Documents to (id, n, s1, s2, grams, salts): the entries of the lists, in order."""
+def _prefixes(n: int, percent: int, rank, mean: float, chunk_bytes: int):
+    """Documents to (id, n, s1, s2, grams, salts): the entries of the lists, in order. ``mean``: what a counter holds on
+    average, which says nothing of a single n-gram; counts well above it do."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         ranks = rank.value
-        salts_of = np.maximum(1, np.ceil(2.0 ** (np.arange(256) / 4.0) / HOT)).astype(np.int64)
+        salts_of = np.maximum(1, np.ceil((2.0 ** (np.arange(256) / 4.0) - 2 * mean) / HOT)).astype(np.int64)
         least = 100 // (100 - percent)  # a smaller set is similar to its equal alone, and equals are one class
         for t in chunks(batches, "text", chunk_bytes):
             ids = t["id"].to_numpy()
@@ -220,14 +221,16 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     sets_ = documents.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
     sets_ = materialize(sets_, "classes")
     known = rows.where("id is not null")
-    entries = known.mapInArrow(_prefixes(n, percent, rank, chunk_bytes), "id long, n long, s1 long, s2 long, grams array<long>, salts array<int>")
+    mean = (documents.agg(F.sum("n")).first()[0] or 0) / (1 << COUNTER_BITS)
+    entries = known.mapInArrow(_prefixes(n, percent, rank, mean, chunk_bytes), "id long, n long, s1 long, s2 long, grams array<long>, salts array<int>")
     heads = sets_.select(F.col("rep").alias("id"), "s1", "s2")
     entries = entries.join(heads, ["id", "s1", "s2"], "left_semi").select("id", "n", F.posexplode(F.arrays_zip("grams", "salts")).alias("pos", "e"))
     entries = entries.select(F.col("e.grams").alias("g"), F.col("e.salts").alias("salt"), F.col("id"), F.col("n").cast("int").alias("n"), "pos")
     lists = Window.partitionBy("g", "salt").orderBy("pos", "n", "id")
     first = F.first(F.struct("id", "n", "pos")).over(lists).alias("h")
     entries = entries.select("*", first, F.row_number().over(lists).alias("nth"), F.lead("id").over(lists).alias("next"))
-    entries = entries.where("nth > 1 or next is not null").select(
+    # alone in its list, an entry meets nobody; but a salted list is only a part of one
+    entries = entries.where("nth > 1 or next is not null or salt >= 0").select(
         "g", "salt", "id", "n", "pos", F.floor((F.col("nth") - 1) / BLOCK).cast("int").alias("block"), F.col("h.id").alias("hid"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos")
     )
     entries = materialize(entries, "lists")
