@@ -113,4 +113,42 @@ with n as (
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
   doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from n""",
+    "op3_warc": """
+with p as (
+  select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h,
+    min(page_id) over (partition by sha1(coalesce(html, '')), strlen(coalesce(html, ''))) as first
+  from pages),
+b as (select *, cast(cast(unhex(h) as bit) as varchar) as bits from p)
+select page_id, n as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+    + 16 * cast(bits[5 * i + 1] as integer) + 8 * cast(bits[5 * i + 2] as integer) + 4 * cast(bits[5 * i + 3] as integer)
+    + 2 * cast(bits[5 * i + 4] as integer) + cast(bits[5 * i + 5] as integer), 1)), '') as payload_digest,
+  case when first = page_id then 'response' else 'revisit' end as record_type,
+  case when first <> page_id then first end as refers_to
+from b""",
+    "op7_jaccard_join": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s
+  from w),
+e as (select doc_id, len(s) as n, unnest(s) as g from s),
+k as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id < b.doc_id and a.n * 100 >= b.n * 85 and b.n * 100 >= a.n * 85
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l as (select a, b from k union select b, a from k),
+r as (select doc_id as id, doc_id as c from s union select l.b, r.c from r join l on r.id = l.a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, m.c as component_id from s join (select id, min(c) as c from r group by id) m on s.doc_id = m.id""",
+    "op9_substring_dedup": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, unnest(range(1, len(w) - 11)) as p, w from w where len(w) >= 13),
+k as (select doc_id, p, min(doc_id) over (partition by array_to_string(w[p:p + 12], ' ')) < doc_id as gone from p),
+g as (select distinct doc_id, unnest(range(p, p + 13)) as i from k where gone),
+x as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from w),
+j as (select x.doc_id, count(*) as n, count(g.i) as gone, string_agg(x.word, ' ' order by x.i) filter (g.i is null) as kept
+  from x left join g on x.doc_id = g.doc_id and x.i = g.i group by x.doc_id)
+select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(j.gone, 0) as n_removed, sha256(coalesce(j.kept, '')) as kept_sha256
+from w left join j on w.doc_id = j.doc_id""",
 }
