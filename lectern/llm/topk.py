@@ -35,9 +35,18 @@ def quantise(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return rows.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * F.lit(scale))).alias("v"))
 
 
-def _matrix(column) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+def _matrices(*columns) -> list[np.ndarray]:
+    """Vectors as rows of one width; components that a shorter vector lacks are zero."""
+    import pyarrow.compute as pc
+
+    sizes = [pc.list_value_length(c).to_numpy() for c in columns]
+    width = max(1, *(int(s.max()) for s in sizes))
+    out = []
+    for c, s in zip(columns, sizes, strict=True):
+        m = np.zeros((len(s), width), dtype=np.int64)
+        m[np.arange(width) < s[:, None]] = c.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        out.append(m)
+    return out
 
 
 def _exact_type(q: np.ndarray, r: np.ndarray):
@@ -83,7 +92,7 @@ def _gather(k: int, lists: int):
         if not q.num_rows or not r.num_rows:
             return _out([], [], [])
         qid, rid = q["id"].to_numpy(), r["rid"].to_numpy()
-        parts = _partial_scores(_matrix(q["v"]), _matrix(r["rv"]), lists)
+        parts = _partial_scores(*_matrices(q["v"], r["rv"]), lists)
         whole = sum(parts[1:], parts[0])
         mine = np.zeros(whole.shape, dtype=bool)
         mine[_own(qid, rid)] = True
@@ -111,7 +120,7 @@ def _resolve(k: int, lists: int):
         qid, rid = q["id"].to_numpy(), r["rid"].to_numpy()
         lowest = np.iinfo(np.int64).min
         cutoff = np.array([lowest if x is None else x for x in q["cutoff"].to_pylist()], dtype=np.int64)
-        parts = _partial_scores(_matrix(q["v"]), _matrix(r["rv"]), lists)
+        parts = _partial_scores(*_matrices(q["v"], r["rv"]), lists)
         share = np.where(cutoff == lowest, -np.inf, cutoff / len(parts))[:, None]
         enough = parts[0] >= share
         for p in parts[1:]:
@@ -133,7 +142,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 20, lists: int = LISTS)
     """(query_id, rank, vec_id, score): each query's k highest inner products with the rows but its own (those with
     its identifier), ties to the smaller vec_id; all, if fewer.
 
-    ``queries`` and ``rows``: (id long, v array<long>) as of quantise(), all of one length. A query identifier that is
+    ``queries`` and ``rows``: (id long, v array<long>) as of quantise(); where lengths differ, missing components count as zero. A query identifier that is
     repeated counts once (any of its vectors, if they differ); repeated rows are each a candidate. No queries or no
     rows: no result."""
     total_q, total_r = queries.count(), rows.count()

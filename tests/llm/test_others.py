@@ -58,6 +58,13 @@ def test_top_k_of_few(spark):
     assert top_k(df.where("id = 5"), df, 20).count() == 0
 
 
+def test_top_k_of_uneven_vectors(spark):
+    from lectern.llm.topk import quantise, top_k
+
+    df = quantise(spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, []), (3, [1.0, 1.0])], "vec_id long, embedding array<double>"), scale=1.0)
+    assert [(r.vec_id, r.score) for r in top_k(df.where("id = 0"), df, 20).orderBy("rank").collect()] == [(1, 3), (3, 3), (2, 0)]
+
+
 # WARC
 def test_warc_round_trip(spark):
     from lectern.llm.warc import payload_digest, read_archives, write_archives
