@@ -120,7 +120,7 @@ def _prefixes(n: int, percent: int, rank, mean: float, chunk_bytes: int):
 
         ranks = rank.value
         salts_of = np.maximum(1, np.ceil((2.0 ** (np.arange(256) / 4.0) - 2 * mean) / HOT)).astype(np.int64)
-        least = 100 // (100 - percent)  # a smaller set is similar to its equal alone, and equals are one class
+        least = -(-percent // (100 - percent))  # a smaller set is similar to its equal alone, and equals are one class
         for t in chunks(batches, "text", chunk_bytes):
             ids = t["id"].to_numpy()
             rows, tokens, salts = [], [], []

@@ -81,6 +81,19 @@ def test_classes_split_hot_lists(spark, monkeypatch):
     assert got == cases.components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [50, 75, 80, 85, 90])
+def test_classes_of_the_smallest_sets_that_link(spark, percent):
+    from lectern.llm.jaccard_join import similarity_classes
+
+    least = -(-percent // (100 - percent))  # of so many shingles, one more makes a similar set; of fewer, a different one
+    rows = []
+    for k in range(max(1, least - 1), least + 2):
+        words = [f"s{k}w{i}" for i in range(k + 5)]  # k shingles of 5 words, then k + 1
+        rows += [(10 * k, " ".join(words[:-1])), (10 * k + 1, " ".join(words))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_classes(spark.createDataFrame(rows, TEXT), 5, percent).collect()}
+    assert got == cases.components(rows, 5, percent) and got[10 * least + 1] == (least + 1, 10 * least)
+
+
 def test_count_vectors_bound_the_difference():
     from lectern.llm.jaccard_join import _least_difference, _vector
 
