@@ -74,10 +74,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License notices in all documents; no SQL: retrieval is by bands, tested against brute force."""
-    from .license_scan import scan
+    """License notices and texts in all documents; no SQL: retrieval is by bands, tested against brute force."""
+    from .license_scan import scan_licenses
 
-    return scan(read(spark, sf_dir, "documents"))
+    return scan_licenses(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {

@@ -277,6 +277,27 @@ def test_licenses(spark, empty):
     assert got == want and scan(empty).count() == 0
 
 
+def test_registered_licenses(spark, monkeypatch):
+    from lectern.llm import queries
+    from lectern.llm.license_scan import TEMPLATES
+    from lectern.llm.license_texts import licenses
+
+    every = licenses()
+    before, after = "some words that stand before it\n", "\nand a few more words after"
+    rows = [(i, before + "\n".join(f" * {line}" for line in t.splitlines()) + after) for i, (_, t) in enumerate(every)]
+    rows += [(1000 + i, f"{before}\u201c{t.rstrip('.')}\u201d, and{after}") for i, (_, t) in enumerate(TEMPLATES)]
+    rows += [(2000, "// SPDX-License-Identifier: (MIT OR Apache-2.0)"), (2001, "nothing of the kind stands in this text"), (2002, None)]
+    monkeypatch.setattr(queries, "read", lambda *_: spark.createDataFrame(rows, TEXT).repartition(4))
+    got = {}
+    for r in queries.op10_license_scan(spark, "").collect():
+        got.setdefault(r.doc_id, {})[r.license_id] = r.containment
+    for i, (name, _) in enumerate(every):
+        assert got[i][name] == 1, name
+    for i, (name, _) in enumerate(TEMPLATES):
+        assert got[1000 + i][name] == 1, name
+    assert got[2000] == {"spdx:mit or apache-2.0": 1} and not {2001, 2002} & set(got)
+
+
 def test_band_settings():
     from lectern.llm.license_scan import window_shape
 
