@@ -8,8 +8,8 @@ letter groups of the last three. P(token | class) is the token's smoothed share
 1. Counts of all training tokens, exact: chunks of documents send each distinct word once to its bucket.
 2. Rounds of gradient updates over all training documents: every task starts from the shared weights, updates its own
    copy batch by batch, and sends back changes weighted by use; blocks of weights are averaged in parallel.
-3. Scores, in sparse batches. Words with at least 1/HOT_WORDS of all tokens are at most HOT_WORDS, a table of bounded
-   size that goes to every task. All other words of a chunk meet their counts in buckets, each distinct word once, and
+3. Scores, in sparse batches. Words with at least 1/HOT_WORDS of all tokens are at most HOT_WORDS; with the end of a text,
+   they are a table of bounded size that goes to every task. All other words of a chunk meet their counts in buckets, each distinct word once, and
    what comes back is a sum per document: no text is shuffled, and no word is frequent enough to fill a bucket.
 """
 
@@ -228,10 +228,10 @@ def fit(rows: DataFrame, words: DataFrame, rounds: int = 2, rate: float = 0.3, c
         for b in batches:
             for h, c, g in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 h, c, g = np.frombuffer(h, dtype="<i8"), np.frombuffer(c, dtype="<i8"), np.frombuffer(g, dtype=np.uint8)
-                k = c * HOT_WORDS >= total
+                k = (c * HOT_WORDS >= total) | (g == END_GROUP)  # the end is a class, however rare
                 yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(c[k]), pa.array(g[k].astype(np.int32))], ["h", "c", "g"])
 
-    found = words.select("hashes", "counts", "groups").mapInArrow(frequent, "h long, c long, g int").collect()  # HOT_WORDS rows at most
+    found = words.select("hashes", "counts", "groups").mapInArrow(frequent, "h long, c long, g int").collect()  # HOT_WORDS rows at most, and the end
     h, c, g = np.array(found, dtype=np.int64).reshape(-1, 3).T
     h = h.view(U64) if h.flags.c_contiguous else np.ascontiguousarray(h).view(U64)
     order = np.argsort(h)

@@ -216,6 +216,24 @@ def test_training_helps():
     assert lm.class_log10(w, bias, f, cls).mean() > before / 4
 
 
+def test_end_of_few_long_texts(spark):
+    from lectern.llm import lm
+
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(50)}" for _ in range(70_000)) for _ in range(2)]  # the end has less than 1/HOT_WORDS
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, ""])], "id long, text string")
+    train = rows.where("id < 2")
+    words = lm.vocabulary(train, 4, 1 << 20).cache()
+    model = lm.fit(train, words, chunk_bytes=1 << 20)
+    assert 2 * lm.HOT_WORDS < model.total == 140_002
+    assert abs(model.bias[0] - math.log(2.5 / (model.total + 0.5 * lm.CLASSES))) < 1e-5
+    # the end is alone in its class: its probability is that of the class
+    none = lm.tokens([b""])
+    end = lm.class_log10(model.weights, model.bias, lm.features(none), np.zeros(1, dtype=np.int64))[0]
+    got = {x.id: x for x in lm.score(rows, model, words, 4).collect()}
+    assert (got[2].n_tokens, got[2].n_known) == (1, 1) and abs(got[2].score - end) < 1e-6
+
+
 def test_run_sums():
     from lectern.llm.lm import _run_sums
 
