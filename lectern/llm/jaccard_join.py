@@ -211,6 +211,41 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     repeat one with the same text get the same row each. A null identifier takes the component of its equal sets, or
     null. Other columns play no part. An empty table gives an empty result."""
     bound = _Bounds(percent)
+    rows, profiles, sets_, entries, compared = _heads(docs, n, percent, id_col, text_col, chunk_bytes)
+    documents = profiles.where("block is null")
+    links = lambda d: d.where(bound.similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
+    label = components(links(compared))
+
+    more = _further(entries, compared, label, bound)
+    if not more.isEmpty():
+        found = links(_compare(more, profiles, rows, n, percent, chunk_bytes))
+        if not found.isEmpty():
+            label = components(links(compared).union(found))
+
+    several = materialize(sets_.where("members > 1").select("s1", "s2", F.col("n").alias("size"), "rep"), "equal-sets")
+    out = documents.select("id", "n", "s1", "s2")
+    out = out.join(several, (out["n"] == several["size"]) & (out["s1"] == several["s1"]) & (out["s2"] == several["s2"]), "left").select(out["id"], out["n"], F.coalesce("rep", out["id"]).alias("rep"))
+    out = out.join(label.withColumnRenamed("id", "of"), F.col("rep") == F.col("of"), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+
+def similarity_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Every link of ``similarity_classes``, those inside a component too: (a, b, n_a, n_b, overlap, links), one row for
+    each two different sets that link, by the smallest identifiers that hold them (a < b), and one with a = b for each set
+    that several rows hold. ``links``: how many pairs of rows the row stands for. Rows without an identifier don't count."""
+    bound = _Bounds(percent)
+    rows, profiles, sets_, entries, compared = _heads(docs, n, percent, id_col, text_col, chunk_bytes)
+    more = _further(entries, compared, None, bound)
+    every = compared.union(_compare(more, profiles, rows, n, percent, chunk_bytes)).where(bound.similar(F.col("overlap"), F.col("na"), F.col("nb")))
+    side = lambda x: sets_.select(F.col("rep").alias(x), F.col("members").alias(f"m{x}"))
+    out = every.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.col("na").alias("n_a"), F.col("nb").alias("n_b"), "overlap", (F.col("ma") * F.col("mb")).alias("links"))
+    equal = sets_.where("members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.col("n").alias("overlap"), F.expr("members * (members - 1) div 2").alias("links"))
+    return out.union(equal)
+
+
+def _heads(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, ...]:
+    """(rows, profiles, classes of equal sets, entries of the lists, comparisons of each list's head with the rest)."""
+    bound = _Bounds(percent)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes_col(F.col(text_col).cast("string")).alias("text"))
     profiles = materialize(
@@ -241,28 +276,15 @@ def similarity_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     tops = tops.select("id", "n", "pos", F.col("h.id").alias("hid"), F.col("h.n").alias("hn"), F.col("h.pos").alias("hpos")).where("id <> hid")
     star = star.union(tops).where(bound.sizes(F.col("n"), F.col("hn")) & bound.places(F.col("n"), F.col("pos"), F.col("hn"), F.col("hpos")))
     star = star.select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b")).distinct()
-    compared = _compare(star, profiles, rows, n, percent, chunk_bytes)
-    links = lambda d: d.where(bound.similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
-    label = components(links(compared))
-
-    more = _further(entries, compared, label, bound)
-    if not more.isEmpty():
-        found = links(_compare(more, profiles, rows, n, percent, chunk_bytes))
-        if not found.isEmpty():
-            label = components(links(compared).union(found))
-
-    several = materialize(sets_.where("members > 1").select("s1", "s2", F.col("n").alias("size"), "rep"), "equal-sets")
-    out = documents.select("id", "n", "s1", "s2")
-    out = out.join(several, (out["n"] == several["size"]) & (out["s1"] == several["s1"]) & (out["s2"] == several["s2"]), "left").select(out["id"], out["n"], F.coalesce("rep", out["id"]).alias("rep"))
-    out = out.join(label.withColumnRenamed("id", "of"), F.col("rep") == F.col("of"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return rows, profiles, sets_, entries, _compare(star, profiles, rows, n, percent, chunk_bytes)
 
 
-def _further(entries: DataFrame, compared: DataFrame, label: DataFrame, bound: _Bounds) -> DataFrame:
-    """(a, b): pairs of a list in different components that no bound rules out and that weren't compared."""
+def _further(entries: DataFrame, compared: DataFrame, label: DataFrame | None, bound: _Bounds) -> DataFrame:
+    """(a, b): pairs of a list in different components that no bound rules out and that weren't compared. Without
+    ``label``, pairs inside a component too: each document is its own."""
     over = compared.select(F.col("a").alias("x"), F.col("b").alias("y"), "overlap")
     low, high = F.least("id", "hid"), F.greatest("id", "hid")
-    own = entries.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    own = entries.withColumn("c", F.col("id")) if label is None else entries.join(label, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     # only lists with more than one component are looked at again
     open_ = own.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
     own = own.join(open_, "g", "left_semi")

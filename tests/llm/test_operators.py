@@ -94,6 +94,30 @@ def test_classes_of_the_smallest_sets_that_link(spark, percent):
     assert got == cases.components(rows, 5, percent) and got[10 * least + 1] == (least + 1, 10 * least)
 
 
+@pytest.mark.parametrize("hot,block", [(4096, 128), (2, 3)])
+def test_every_link(spark, monkeypatch, hot, block):
+    from lectern.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = cases.documents()
+    sets = {}
+    for i, t in rows:
+        if s := cases.shingle_set(t, 4):
+            sets.setdefault(s, []).append(i)
+    held = sorted((min(of), s, len(of)) for s, of in sets.items())
+    want = {(i, i, len(s), len(s), len(s), m * (m - 1) // 2) for i, s, m in held if m > 1}
+    for k, (a, x, mx) in enumerate(held):
+        for b, y, my in held[k + 1 :]:
+            both = len(x & y)
+            if 100 * both >= 85 * (len(x) + len(y) - both):
+                want.add((a, b, len(x), len(y), both, mx * my))
+    got = [tuple(r) for r in jaccard_join.similarity_links(cases.frame(spark, rows).repartition(3), 4, 85).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    linked = [w for w in want if w[0] < w[1]]
+    assert len(linked) > len({w[1] for w in linked})  # more links than a tree of each component has
+
+
 def test_count_vectors_bound_the_difference():
     from lectern.llm.jaccard_join import _least_difference, _vector
 
