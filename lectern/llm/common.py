@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Split size (bytes of text) up to which Python stages gather documents before they hash them together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Bytes of a batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Where it is unset (tests), a
-    temporary folder of this machine is set."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where it is unset, a temporary folder is set
+    on a local master alone (tests); a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,6 +35,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Batches between the JVM and Python hold at most ``most`` bytes (or one row) in this session. A smaller limit that
+    the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-") or -1)
+    if now < 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
+def text_bytes(rows: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts: one scan of one column."""
+    return int(rows.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0)
+
+
+def buckets_for(spark: SparkSession, size: int, each: int) -> int:
+    """How many buckets ``size`` bytes take at ``each`` bytes a bucket, at least two for each shuffle partition."""
+    return max(2 * partitions(spark), -(-size // each))
+
+
 def text_bytes_col(col: Column) -> Column:
     """Null text counts as empty."""
     return F.coalesce(col, F.lit(""))

@@ -16,7 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, materialize
+from .caches import tidy
+from .common import CHUNK_BYTES, bounded_batches, materialize
 from .words import chunks, utf8
 
 CAPACITY = 4096
@@ -101,7 +102,7 @@ def pieces(docs: DataFrame, encode, capacity: int = CAPACITY, end_id: int = 2, i
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, chunk long, nth long")
+    return rows.mapInArrow(tidy(run, "packing"), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, chunk long, nth long")
 
 
 def pack(docs: DataFrame, encode, capacity: int = CAPACITY, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,7 +131,7 @@ def pack(docs: DataFrame, encode, capacity: int = CAPACITY, end_id: int = 2, id_
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("nth")).alias("rank"))
-    out = out.mapInArrow(place, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = out.mapInArrow(tidy(place), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 
 

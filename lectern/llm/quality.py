@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, materialize
+from .caches import tidy
+from .common import CHUNK_BYTES, bounded_batches, materialize
 from .words import Words, chunks, grams, utf8
 
 #: Document statistics, in the order of the feature vector; each is already transformed.
@@ -93,7 +94,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, x array<double>")
+    return rows.mapInArrow(tidy(run), f"id {kind}, x array<double>")
 
 
 @dataclass
@@ -193,7 +194,7 @@ def score(features: DataFrame, model: QuadraticModel, id_col: str = "id") -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(x) if len(x) else np.empty(0))], ["id", "score"])
 
     kind = features.schema[id_col].dataType.simpleString()
-    return features.select(F.col(id_col).alias("id"), "x").mapInArrow(run, f"id {kind}, score double")
+    return features.select(F.col(id_col).alias("id"), "x").mapInArrow(tidy(run), f"id {kind}, score double")
 
 
 def label_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -220,7 +221,7 @@ def keep_good(docs: DataFrame, model: QuadraticModel, text_col: str = "text", th
             good = model.score(statistics(utf8(t[text_col]))) >= threshold
             yield from t.filter(pa.array(good)).to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out=None, label_col: str = "quality", shrinkage: float = 0.2) -> DataFrame:

@@ -18,13 +18,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .caches import TwoAges
+from .caches import TwoAges, kept, tidy
 from .common import CHUNK_BYTES
 from .words import chunks, utf8
 
 MARK = "▁"
 PENALTY = 10.0
-_LOADED: dict = {}
 
 
 class DoubleArray:
@@ -86,7 +85,7 @@ class DoubleArray:
 class Unigram:
     """pieces: (text, score, kind) in order of id; kind "normal", "byte", "control" or "unknown"."""
 
-    def __init__(self, pieces: list[tuple[str, float, str]], cache: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float, str]], cache_bytes: int = 64 << 20):
         self.scores = [p[1] for p in pieces]
         normal = [i for i, p in enumerate(pieces) if p[2] == "normal"]
         self.ids = normal
@@ -99,7 +98,7 @@ class Unigram:
         texts = [pieces[i][0] for i in normal]
         apart = not any(MARK in t.lstrip(MARK) or ("\n" in t and t != "\n") for t in texts)
         self.runs = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if apart else r"(?s).+").findall
-        self.cache = TwoAges(cache)
+        self.cache = TwoAges(cache_bytes)
 
     @classmethod
     def load(cls, path: str) -> Unigram:
@@ -175,10 +174,8 @@ class Unigram:
 
 
 def unigram(path: str) -> Unigram:
-    """One for each path in a Python worker: the cache lasts over tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = Unigram.load(path)
-    return _LOADED[path]
+    """One for each path in a Python worker: the cache lasts over the tasks of an encoding stage."""
+    return kept("unigram", path, lambda: Unigram.load(path))
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -211,7 +208,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, f"id {kind}, n_ids long, n_byte_pieces long, ids_crc32 long, round_trip boolean, ids binary").withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(tidy(run, "unigram"), f"id {kind}, n_ids long, n_byte_pieces long, ids_crc32 long, round_trip boolean, ids binary").withColumnRenamed("id", id_col)
     return out if with_ids else out.drop("ids")
 
 
@@ -226,4 +223,4 @@ def decode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else m.decode(x) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(tidy(run, "unigram"), f"id {kind}, text string").withColumnRenamed("id", id_col)

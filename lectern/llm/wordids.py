@@ -11,11 +11,10 @@ from __future__ import annotations
 import json
 import struct
 
-from .caches import TwoAges
+from .caches import TwoAges, kept
 
 #: The split pattern of this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LOADED: dict = {}
 
 
 def byte_letters() -> list[str]:
@@ -31,7 +30,7 @@ def _four(ids: list[int]) -> bytes:
 
 
 class WordIds:
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, cache_bytes: int = 48 << 20):
         import regex
         from tokenizers import Tokenizer
 
@@ -45,7 +44,7 @@ class WordIds:
         self.tokenize = self.tokenizer.model.tokenize
         self.pieces = regex.compile(PATTERN).findall
         self.letters = dict(enumerate(byte_letters()))
-        self.words, self.parts = TwoAges(words), TwoAges(words // 2)
+        self.words, self.parts = TwoAges(cache_bytes), TwoAges(cache_bytes // 2)
 
     def part(self, text: str) -> bytes:
         try:
@@ -82,7 +81,5 @@ class WordIds:
 
 
 def word_ids(path: str) -> WordIds:
-    """One for each path in a Python worker: the cache lasts over tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return _LOADED[path]
+    """One for each path in a Python worker: the cache lasts over the tasks of a packing stage."""
+    return kept("packing", path, lambda: WordIds(path))

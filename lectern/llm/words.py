@@ -108,13 +108,18 @@ def grams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def chunks(batches: Iterable, text_column: str, limit: int) -> Iterator:
-    """Arrow record batches cut into tables of at most ``limit`` bytes of text (a longer text comes alone), so
-    that memory is bounded by the limit and the longest text."""
+#: Rows that a chunk holds at most, however short their texts are.
+CHUNK_ROWS = 1 << 14
+
+
+def chunks(batches: Iterable, text_column: str, limit: int, rows: int = CHUNK_ROWS) -> Iterator:
+    """Arrow record batches cut into tables of at most ``limit`` bytes of text (a longer text comes alone) and ``rows``
+    rows, so that memory is bounded by these limits, the longest text and the size of the batches that arrive (see
+    ``common.bounded_batches``)."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    held, size = [], 0
+    held, size, count = [], 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -123,17 +128,18 @@ def chunks(batches: Iterable, text_column: str, limit: int) -> Iterator:
         at = 0
         while at < batch.num_rows:
             total = np.cumsum(lengths[at:])
-            take = int(np.searchsorted(total, limit - size, side="right"))
+            take = min(int(np.searchsorted(total, limit - size, side="right")), rows - count)
             if take == 0 and not held:
                 take = 1
             if take:
                 held.append(batch.slice(at, take))
                 size += int(total[take - 1])
+                count += take
                 at += take
-            if at < batch.num_rows or size >= limit:
+            if at < batch.num_rows or size >= limit or count >= rows:
                 if held:
                     yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, count = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 
