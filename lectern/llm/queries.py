@@ -111,7 +111,7 @@ with n as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
   from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
-  doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
+  row_number() over (partition by t order by doc_id desc) = 1 as kept, sha256(t) as text_sha256
 from n""",
     "op3_warc": """
 with p as (

@@ -37,7 +37,7 @@ def test_exact_dedup(docs, keep):
     want = {i: ((min if keep == "min" else max)(g), len(g), hashlib.sha256(t).hexdigest()) for t, g in groups.items() for i in g}
     got = content_groups(df, keep=keep).collect()
     assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in got} == want
-    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)  # identifiers are unique here
 
 
 def test_exact_dedup_of_hot_and_null(spark, empty):
@@ -47,7 +47,7 @@ def test_exact_dedup_of_hot_and_null(spark, empty):
     got = content_groups(spark.createDataFrame(rows, TEXT).repartition(4), keep="max").collect()
     hot = [r for r in got if r.text_sha256 == hashlib.sha256(b"hot").hexdigest()]
     assert len(got) == 604 and len(hot) == 401 and {(r.keep_id, r.group_size) for r in hot} == {(599, 401)} and sum(r.kept for r in hot) == 1
-    assert sorted((r.keep_id, r.group_size, r.kept) for r in got if r.text_sha256 == hashlib.sha256(b"").hexdigest()) == [(601, 3, False), (601, 3, True), (601, 3, True)]
+    assert sorted((r.keep_id, r.group_size, r.kept) for r in got if r.text_sha256 == hashlib.sha256(b"").hexdigest()) == [(601, 3, False), (601, 3, False), (601, 3, True)]  # exactly one row stays
     assert content_groups(empty).count() == 0
 
 
