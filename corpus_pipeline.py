@@ -8,33 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import held_out, materialize, public_vocabulary, read, word_encoder
-from lectern.llm.exact_dedup import content_groups
-from lectern.llm.jaccard_join import similarity_classes
+from lectern.llm.exact_dedup import distinct_contents
+from lectern.llm.jaccard_join import one_of_each
 from lectern.llm.packing import pack
 from lectern.llm.quality import document_statistics, keep_good, model_of
 from lectern.llm.substring_dedup import remove_repeats
 
+# Every stage works on rows, not on identifiers: repeated and null identifiers, ties and repeated rows lose no text. Null and
+# empty texts are scored like any other, are one content, are never near copies, and have nothing to repeat; they are
+# packed as the end id alone. Columns of any name pass through. An empty table gives an empty result.
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labels outside the held-out third."""
+    """Documents that the classifier rejects go. It learns from the labels outside the held-out third; without any labelled
+    row every score is one half, and all stay."""
     x = materialize(document_statistics(docs), "quality-statistics")
     return keep_good(docs, model_of(x, read(spark, sf_dir, "labels"), held_out(3)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (but for A-Z or a-z) that with the largest doc_id stays."""
-    gone = content_groups(docs, keep="max", digest=False).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of documents with equal texts (but for A-Z or a-z) that with the largest doc_id stays, exactly one row."""
+    return distinct_contents(docs, keep="max")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more of their 5-word shingles that with the smallest doc_id stays."""
-    gone = similarity_classes(docs, n=5, percent=80).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return one_of_each(docs, n=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words go that repeat a window of 13 words from a document with a smaller doc_id; the rest of a text stays."""
+    """Words go that repeat a window of 13 words from a document with a smaller doc_id (a null one is larger than any other);
+    the rest of a text stays, and so does a row that has no words left."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     out = remove_repeats(docs, with_text=True, carry=others)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
