@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,8 +40,9 @@ def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Batches between the JVM and Python hold at most ``most`` bytes (or one row) in this session. A smaller limit that
     the session has stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int("".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-") or -1)
-    if now < 0 or now > most:
+    m = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).strip().lower())
+    now = int(m[1]) << 10 * " kmgt".index(m[2] or " ") if m and int(m[1]) > 0 else most + 1
+    if now > most:
         spark.conf.set(key, str(most))
 
 

@@ -110,13 +110,14 @@ def pack(docs: DataFrame, encode, capacity: int = CAPACITY, end_id: int = 2, id_
 
     Null or empty text: the end id alone. Rows that repeat a doc_id, or have none, are packed each. Windows hold no
     gap; window 0 up are the sequences. Other columns play no part; an empty table gives an empty result."""
+    bounded_batches(docs.sparkSession)
     cut = materialize(pieces(docs, encode, capacity, end_id, id_col, text_col), "pieces")
     cells = materialize(cut.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     counts = {r[0]: r[1] for r in cells.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     table = SlotTable(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     first = materialize(cells.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "piece-ranks")
-    ranked = cut.join(first, ["length", "chunk"])
+    ranked = cut.join(first.hint("merge"), ["length", "chunk"])  # as large as the number of tasks: never broadcast
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -92,6 +92,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             at = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), pa.ListArray.from_arrays(at, flat)], ["id", "x"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(tidy(run), f"id {kind}, x array<double>")
@@ -116,10 +117,11 @@ class QuadraticModel:
         return density[1] - density[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability of class 1, strictly between 0 and 1 so that order survives far from the boundary."""
+        """Probability of class 1, strictly between 0 and 1 as far as doubles go."""
         t = self.log_odds(x)
-        t = 30 * t / (30 + np.abs(t))  # keeps sign and order; |t| below 30
-        return 1 / (1 + np.exp(-t))
+        e = np.exp(-np.abs(t))
+        p = np.where(t >= 0, 1 / (1 + e), e / (1 + e))
+        return np.clip(p, 2.0**-1022, 1 - 2.0**-53)  # what doubles leave of 0 and 1
 
 
 def standard(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:

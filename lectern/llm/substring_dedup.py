@@ -24,13 +24,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, materialize, partitions, text_bytes_col
+from .caches import tidy
+from .common import CHUNK_BYTES, bounded_batches, buckets_for, materialize, text_bytes, text_bytes_col
 from .words import U64, Words, chunks, grams, utf8
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
-#: log2 of the bits of the fixed-size filter of documents with shared anchors.
-FILTER_BITS = 23
+#: log2 of the bits of the filter of documents with shared anchors, eight for each, between these bounds (32 MB when sent).
+FILTER_BITS = (16, 28)
+#: Bytes of text for each bucket in which hashes meet; what a bucket holds is a small multiple less.
+BUCKET_BYTES = 2 << 20
 _NO_ID = np.iinfo(np.int64).max  # a null identifier is larger than any other
 
 MEET = "bucket int, chunk long, kind int, keys binary, at binary, ids binary, runs binary"
@@ -222,23 +225,24 @@ def _home(table):
 
 def _marked(rows: DataFrame, start, by_id: bool, name: str) -> DataFrame:
     """(id, th, at): one row for each document with places, through the meeting of equal hashes."""
-    met = rows.mapInArrow(start, MEET).groupBy("bucket").applyInArrow(_meet(by_id), BACK)
+    met = rows.mapInArrow(tidy(start), MEET).groupBy("bucket").applyInArrow(_meet(by_id), BACK)
     home = met.groupBy("chunk").applyInArrow(_home, "id long, th long, at binary")
     return materialize(home.dropDuplicates(["id", "th"]), name)
 
 
-def _coded(rows: DataFrame) -> DataFrame:
+def _coded(rows: DataFrame, bits: int) -> DataFrame:
     """With the place (w) and the bit (m) of each document in the filter."""
-    bit = f"pmod(xxhash64(id, th), {1 << FILTER_BITS})"
+    bit = f"pmod(xxhash64(id, th), {1 << bits})"
     return rows.withColumn("w", F.expr(f"shiftright({bit}, 6)")).withColumn("m", F.expr(f"shiftleft(1L, int({bit} % 64))"))
 
 
 def _split(rows: DataFrame, marked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows that may be marked, and those that certainly are not, by a bitmap of 2**FILTER_BITS bits in 64-bit
-    words: at most 131072 rows, whatever the input. It only saves shuffling texts that need no work; a false hit costs
-    time alone."""
-    bits = _coded(marked.select("id", "th")).groupBy("w").agg(F.bit_or("m").alias("bits"))
-    both = _coded(rows).join(F.broadcast(bits), "w", "left").withColumn("hit", F.coalesce(F.col("m").bitwiseAND(F.col("bits")) != 0, F.lit(False)))
+    """The rows that may be marked, and those that certainly are not, by a bitmap of bounded size in 64-bit words. It only
+    saves shuffling texts that need no work; a false hit costs time alone."""
+    low, high = FILTER_BITS
+    bits_ = min(high, max(low, (8 * marked.count()).bit_length()))
+    bits = _coded(marked.select("id", "th"), bits_).groupBy("w").agg(F.bit_or("m").alias("bits"))
+    both = _coded(rows, bits_).join(F.broadcast(bits), "w", "left").withColumn("hit", F.coalesce(F.col("m").bitwiseAND(F.col("bits")) != 0, F.lit(False)))
     return both.where("hit").select(rows.columns), both.where("not hit").select(rows.columns)
 
 
@@ -254,9 +258,11 @@ def remove_repeats(
     play no part. An empty table gives an empty result."""
     if window < PERIOD:
         raise ValueError(f"window: at least {PERIOD}")
-    n_buckets = 2 * partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes_col(F.col(text_col).cast("string")).alias("text"), F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in carry)).alias("rest"))
     rows = rows.withColumn("th", F.xxhash64("text"))
+    n_buckets = buckets_for(spark, text_bytes(rows), BUCKET_BYTES)
     rest_type = rows.schema["rest"].dataType.simpleString()
     shared = _marked(rows.select("id", "th", "text"), _anchors(n_buckets, window, chunk_bytes), False, "shared-anchors")
     open_, settled = _split(rows, shared)
@@ -294,6 +300,6 @@ def remove_repeats(
 
     opened = open_.join(later, same(open_, later), "left").select(open_["id"], "text", "at", "rest")
     opened = opened.unionByName(settled.select("id", "text", F.lit(None).cast("binary").alias("at"), "rest"))
-    out = opened.mapInArrow(cut, f"id long, n_words long, n_removed long, kept_sha256 string, kept_text string, rest {rest_type}")
+    out = opened.mapInArrow(tidy(cut), f"id long, n_words long, n_removed long, kept_sha256 string, kept_text string, rest {rest_type}")
     made = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
     return out.select(*made, *(F.col("rest").getField(c).alias(c) for c in carry))

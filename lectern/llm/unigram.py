@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .caches import TwoAges, kept, tidy
-from .common import CHUNK_BYTES
+from .common import CHUNK_BYTES, bounded_batches
 from .words import chunks, utf8
 
 MARK = "▁"
@@ -206,6 +206,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 ["id", "n_ids", "n_byte_pieces", "ids_crc32", "round_trip", "ids"],
             )
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(tidy(run, "unigram"), f"id {kind}, n_ids long, n_byte_pieces long, ids_crc32 long, round_trip boolean, ids binary").withColumnRenamed("id", id_col)
