@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
+from .ordering import number_globally
 
 
 def number_in_order(docs: DataFrame, book: str, order: list[str], name: str = "spine_index", start: int = 0) -> DataFrame:
@@ -109,8 +110,9 @@ def restore(source: DataFrame, target: DataFrame, excluded: DataFrame) -> DataFr
     return number_in_order(rows, "book_id", ["a", "b"], "position").select("book_id", "idref", "position")
 
 
-def union_in_order(*parts: DataFrame) -> DataFrame:
-    """(id, pos): ids of all parts, each at its first place; earlier parts come first."""
+def union_in_order(checkpoint, *parts: DataFrame) -> DataFrame:
+    """(id, pos): ids of all parts, each at its first place; earlier parts come first. Numbers come from range partitions."""
     tagged = [p.select("id", F.lit(i).alias("part"), "pos") for i, p in enumerate(parts)]
     both = reduce(DataFrame.unionByName, tagged)
-    return both.groupBy("id").agg(F.min(F.struct("part", "pos")).alias("k")).select("id", (F.row_number().over(Window.orderBy("k")) - 1).alias("pos"))
+    first = both.groupBy("id").agg(F.min(F.struct("part", "pos")).alias("k"))
+    return number_globally(first, [F.col("k"), F.col("id")], "pos", checkpoint).select("id", "pos")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,31 +10,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..store import written
+from .ordering import number_globally
 
-RESOLVED = "en string, zh string, confidence string, alt string, note string, batch long, failed boolean"
+RESOLVED = "en string, zh string, confidence string, alt string, note string, batch long, failed boolean, reason string"
 
 
-def batches(rows: DataFrame, order: list[str], size: int = rules.BATCH, parts: str | None = None) -> DataFrame:
-    """Adds batch: consecutive rows, ``size`` to a batch. With ``parts``, numbering starts anew in each."""
-    w = Window.partitionBy(*([parts] if parts else [])).orderBy(*order)
+def ranked(rows: DataFrame, order: list, name: str, checkpoint) -> DataFrame:
+    """Rows numbered from 0 over the whole table."""
+    return number_globally(rows, [F.col(o) if isinstance(o, str) else o for o in order], name, checkpoint)
+
+
+def batches(rows: DataFrame, order: list, size: int = rules.BATCH, parts: str | None = None, checkpoint=None) -> DataFrame:
+    """Adds batch: consecutive rows, ``size`` to a batch. With ``parts``, numbering starts anew in each; without, it runs over
+    the whole table in range partitions, which needs ``checkpoint``."""
+    if parts is None:
+        return ranked(rows, order, "_nth", checkpoint or written).withColumn("batch", F.floor(F.col("_nth") / size).cast("long")).drop("_nth")
+    w = Window.partitionBy(parts).orderBy(*order)
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 
-def resolve(rows: DataFrame, resolver: Callable[[list[str]], list[dict]], tries: int = 3) -> DataFrame:
-    """Calls ``resolver`` with the ``en`` of each batch, in tasks. A batch that keeps failing loses only itself: its rows
-    come back failed. Materialise the result: calls aren't repeatable."""
+def resolve(rows: DataFrame, resolver: Callable[[list[dict]], list[dict]], pauses: tuple[float, ...] = (0, 0), check: Callable[[list[dict]], str | None] | None = None) -> DataFrame:
+    """Calls ``resolver`` with the rows (all columns but batch) of each batch, in tasks. A failure, or an answer that
+    ``check`` gives a reason against, is tried again after each of ``pauses`` seconds. A batch that keeps failing
+    loses only itself: its rows come back failed, with the reason. Materialise the result: calls aren't repeatable.
+    Requests at once are bounded by the number of tasks, and in a process by ``connectors.gate``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, batch = pdf["en"].tolist(), int(pdf["batch"].iloc[0])
-        for _ in range(tries):
+        asked, batch, reason = pdf.drop(columns="batch").to_dict("records"), int(pdf["batch"].iloc[0]), ""
+        for pause in (0, *pauses):
+            time.sleep(pause)
             try:
-                out = [{"alt": "", "note": "", "confidence": "", "zh": "", **r, "batch": batch, "failed": False} for r in resolver(names)]
-                return pd.DataFrame(out, columns=["en", "zh", "confidence", "alt", "note", "batch", "failed"])
-            except Exception:  # noqa: BLE001  any failure of an external service is a failed try
-                continue
-        return pd.DataFrame([{"en": n, "zh": "", "confidence": "", "alt": "", "note": "", "batch": batch, "failed": True} for n in names])
+                said = resolver(asked)
+                reason = (check(said) if check else None) or ""
+            except Exception as e:  # noqa: BLE001  any failure of an external service is a failed try
+                reason = f"{type(e).__name__}: {e}"
+            if not reason:
+                empty = {"zh": "", "confidence": "", "alt": "", "note": ""}
+                return pd.DataFrame([{**empty, **r, "batch": batch, "failed": False, "reason": ""} for r in said], columns=names)
+        return pd.DataFrame([{"en": a["en"], "zh": "", "confidence": "", "alt": "", "note": "", "batch": batch, "failed": True, "reason": reason} for a in asked], columns=names)
 
-    return rows.select("en", "batch").groupBy("batch").applyInPandas(run, RESOLVED)
+    names = [c.split()[0] for c in RESOLVED.split(", ")]
+    return rows.groupBy("batch").applyInPandas(run, RESOLVED)
 
 
 def failure_ratio(resolved: DataFrame) -> DataFrame:
@@ -46,7 +64,7 @@ def failure_ratio(resolved: DataFrame) -> DataFrame:
 
 def check_budget(resolved: DataFrame) -> None:
     row = failure_ratio(resolved).first()
-    if row.over_budget:
+    if row.n_batches and row.over_budget:
         raise RuntimeError(f"{row.n_failed} of {row.n_batches} batches failed")
 
 
@@ -79,6 +97,15 @@ def partition_resolver(resolver) -> Callable[[Iterator[pd.DataFrame]], Iterator[
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame(resolver(pdf["en"].tolist()))
+            yield pd.DataFrame(resolver(pdf.to_dict("records")))
 
     return run
+
+
+def watched(rows: DataFrame, name: str, **measures):
+    """``rows``, and an observation that has their number and ``measures`` (columns) once an action has read them: progress
+    without a pass of its own."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in measures.items())), seen

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 NAMESPACE = "http://www.w3.org/1998/Math/MathML"
 MATH = re.compile(r"<math\b.*?</math\s*>", re.S | re.I)
-OPEN = re.compile(r"<(pre|code)(?=[\s>/])", re.I)
+TAG = re.compile(r"""<(?P<close>/?)(?P<name>pre|code)(?=[\s>/])(?:[^>"'/]|/(?!>)|"[^"]*"|'[^']*')*+(?P<self>/(?=>))?(?P<end>>)?""", re.I)
+OPEN_TAG = re.compile(r"""<math(?:[^>"']|"[^"]*"|'[^']*')*+>?""", re.I)
 #: Placeholders, and what is taken for one when they come back
 MATH_TOKEN, CODE_TOKEN, BLOCK = "[[MATH{:04d}]]", "[[CODE{:05d}]]", '<pre data-code-id="{:d}"></pre>'
 BACK = re.compile(r'\[\[\s*(MATH|CODE)\s*0*(\d+)\s*\]\]|<pre\s+data-code-id\s*=\s*"\s*0*(\d+)\s*"\s*(?:/>|>\s*</pre\s*>)', re.I)
@@ -30,74 +31,67 @@ def completeness(mapping: DataFrame, restored: DataFrame) -> DataFrame:
     return each.groupBy("book_id").agg(F.count(F.lit(1)).alias("placeholders"), F.coalesce(F.sum("times"), F.lit(0)).alias("occurrences"), F.count("times").alias("restored"), F.count_if(F.col("times").isNull()).alias("lost"))
 
 
-def tag_end(html: str, at: int) -> int:
-    """Just past the tag that begins at ``at``: its first '>' outside quotes; -1 if there is none."""
-    quote = ""
-    for i in range(at, len(html)):
-        c = html[i]
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c == ">":
-            return i + 1
-    return -1
-
-
-def element_end(html: str, at: int, name: str) -> int:
-    """Just past the element that begins at ``at``, nested ones of its name counted; -1 if it is never closed."""
-    end = tag_end(html, at)
-    if end < 0 or html[end - 2 : end] == "/>":
-        return end
-    depth, tags = 1, re.compile(rf"<(/?){name}(?=[\s>/])", re.I)
-    while m := tags.search(html, end):
-        end = tag_end(html, m.start())
-        if end < 0:
-            return -1
-        if m[1]:
-            depth -= 1
-        elif html[end - 2 : end] != "/>":
-            depth += 1
-        if not depth:
-            return end
-    return -1
+def code_spans(html: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of the outermost pre and code elements, an element being closed by the tag of its name that
+    balances it. A tag whose quotes never close ends the search for the ends of all that is open."""
+    pairs, open_ = {}, {"pre": [], "code": []}
+    for m in TAG.finditer(html):
+        name, whole = m["name"].lower(), m["end"] is not None
+        if not whole:
+            open_ = {"pre": [], "code": []}
+        elif m["close"]:
+            if open_[name]:
+                pairs[open_[name].pop()] = (m.end(), name)
+        elif m["self"]:
+            pairs[m.start()] = (m.end(), name)
+        else:
+            open_[name].append(m.start())
+    out, reached = [], 0
+    for start in sorted(pairs):
+        if start >= reached:
+            reached, name = pairs[start]
+            out.append((start, reached, name))
+    return out
+
+
+def split_code(html: str) -> tuple[list[str], list[str]]:
+    """What stands between the top-level pre and code elements (one more than these), and the elements; what is never closed
+    is no element."""
+    spans = code_spans(html)
+    cuts = [0, *(x for start, end, _ in spans for x in (start, end)), len(html)]
+    return [html[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True)], [html[i:j] for i, j, _ in spans]
+
+
+def split_math(html: str, strict: bool = False) -> tuple[list[str], list[str]]:
+    """As ``split_code``, for math elements, each with a namespace. Unless ``strict``, a document is looked at only if it
+    has '<math' in lower case."""
+    found = list(MATH.finditer(html)) if strict or "<math" in html else []
+    cuts = [0, *(x for m in found for x in m.span()), len(html)]
+    return [html[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True)], [with_namespace(m[0]) for m in found]
+
+
+def placeholder(original: str, idx: int) -> str:
+    kind = original[:5].lower()
+    return MATH_TOKEN.format(idx) if kind == "<math" else BLOCK.format(idx) if kind[:4] == "<pre" else CODE_TOKEN.format(idx)
+
+
+def masked(parts: list[str], originals: list[str], first: int = 1) -> tuple[str, dict[int, str]]:
+    """A document with its elements behind placeholders numbered from ``first``, and these by number."""
+    held = dict(enumerate(originals, first))
+    return parts[0] + "".join(placeholder(x, i) + after for (i, x), after in zip(held.items(), parts[1:], strict=True)), held
 
 
 def mask_code(html: str, first: int = 1) -> tuple[str, dict[int, str]]:
-    """Top-level pre and code elements behind placeholders numbered from ``first``; what is never closed stays."""
-    out, held, at = [], {}, 0
-    while m := OPEN.search(html, at):
-        end = element_end(html, m.start(), m[1].lower())
-        if end < 0:
-            out.append(html[at : m.end()])
-            at = m.end()
-            continue
-        idx = first + len(held)
-        held[idx] = html[m.start() : end]
-        out += [html[at : m.start()], BLOCK.format(idx) if m[1].lower() == "pre" else CODE_TOKEN.format(idx)]
-        at = end
-    return "".join([*out, html[at:]]), held
-
-
-def with_namespace(math: str) -> str:
-    """A math element with the default namespace, added if its open tag declares none."""
-    end = tag_end(math, 0)
-    return math if "xmlns" in math[:end] else f'<math xmlns="{NAMESPACE}"{math[5:]}'
+    return masked(*split_code(html), first)
 
 
 def mask_math(html: str, first: int = 1, strict: bool = False) -> tuple[str, dict[int, str]]:
-    """Math elements behind placeholders. Unless ``strict``, a document is looked at only if it has '<math' in lower
-    case."""
-    held: dict[int, str] = {}
-    if not strict and "<math" not in html:
-        return html, held
+    return masked(*split_math(html, strict), first)
 
-    def put(m: re.Match) -> str:
-        idx = first + len(held)
-        held[idx] = with_namespace(m[0])
-        return MATH_TOKEN.format(idx)
 
-    return MATH.sub(put, html), held
+def with_namespace(math: str) -> str:
+    """A math element with the default namespace, added if its open tag declares none."""
+    return math if "xmlns" in OPEN_TAG.match(math)[0] else f'<math xmlns="{NAMESPACE}"{math[5:]}'
 
 
 def unmask(html: str, code: dict[int, str] | None = None, math: dict[int, str] | None = None) -> tuple[str, list[int]]:
@@ -116,21 +110,38 @@ def unmask(html: str, code: dict[int, str] | None = None, math: dict[int, str] |
     return BACK.sub(put, html), done
 
 
-def mask_books(docs: DataFrame, kind: str = "code") -> DataFrame:
+def mask_books(docs: DataFrame, checkpoint, kind: str = "code") -> DataFrame:
     """(book_id, path, html, idx[], original[]): each document masked, numbers running over a book's paths in order.
 
-    Counting comes first (one pass), so documents are masked in parallel and a book never has to fit in one task."""
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+    Documents are scanned once, in Arrow batches, into elements and what stands between; a window over (book, path, number
+    of elements) gives where a document's numbers begin, and column functions put the placeholders in. A document without
+    the kind's markup is not scanned. A book never has to fit in one task."""
+    import pandas as pd
+
+    split, gate = (split_code, r"(?i)<(?:pre|code)[\s>/]") if kind == "code" else (split_math, "<math")
+
+    def run(frames):
+        for f in frames:
+            made = [split(h) if re.search(gate, h) else ([h], []) for h in f["html"].fillna("")]
+            yield pd.DataFrame({"book_id": f["book_id"], "path": f["path"], "parts": [m[0] for m in made], "original": [m[1] for m in made]})
 
-    mask = mask_code if kind == "code" else mask_math
-    counted = docs.select("book_id", "path", "html", F.udf(lambda h: len(mask(h or "")[1]), "int")("html").alias("n"))
+    own = checkpoint(docs.select("book_id", "path", "html").mapInPandas(run, "book_id string, path string, parts array<string>, original array<string>"))
     before = Window.partitionBy("book_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    first = counted.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1)
-    schema = StructType([StructField("html", StringType()), StructField("idx", ArrayType(IntegerType())), StructField("original", ArrayType(StringType()))])
+    first = own.select("book_id", "path", F.size("original").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).drop("n")
+    rows = own.join(first, ["book_id", "path"]).withColumn("idx", F.transform("original", lambda x, i: (F.col("first") + i + 1).cast("int")))
+    is_pre = lambda x: F.lower(F.substring(x, 1, 4)) == "<pre"
+    token = lambda x, i: F.when(is_pre(x), F.format_string('<pre data-code-id="%d"></pre>', i)).otherwise(F.format_string("[[CODE%05d]]", i)) if kind == "code" else F.format_string("[[MATH%04d]]", i)
+    pieces = F.transform(F.arrays_zip("original", "idx", F.slice("parts", F.lit(2), F.size("original")).alias("after")), lambda x: F.concat(token(x["original"], x["idx"]), x["after"]))
+    return rows.select("book_id", "path", F.concat(F.element_at("parts", 1), F.array_join(pieces, "")).alias("html"), "idx", "original")
+
+
+def unmask_books(masked: DataFrame, code: bool = True) -> DataFrame:
+    """(book_id, path, html, restored): documents with their own placeholders put back, and the numbers that were."""
+    import pandas as pd
 
-    def run(html, start):
-        out, held = mask(html or "", int(start))
-        return out, list(held), list(held.values())
+    def run(frames):
+        for f in frames:
+            made = [unmask(h, **{"code" if code else "math": dict(zip(i, o, strict=True))}) for h, i, o in zip(f["html"], f["idx"], f["original"], strict=True)]
+            yield pd.DataFrame({"book_id": f["book_id"], "path": f["path"], "html": [m[0] for m in made], "restored": [m[1] for m in made]})
 
-    made = first.withColumn("m", F.udf(run, schema)("html", "first"))
-    return made.select("book_id", "path", "m.html", "m.idx", "m.original")
+    return masked.select("book_id", "path", "html", "idx", "original").mapInPandas(run, "book_id string, path string, html string, restored array<int>")

@@ -1,25 +1,11 @@
-"""Tables, and a folder for written intermediates."""
+"""Tables of the registered queries."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..store import written  # noqa: F401  used by the plans
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df``, written in the folder of spark.checkpoint.dir (a folder of this machine only where that is unset) and read
-    back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/lectern/plan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import catalog, editing, masking
+from ..operators import books, catalog, editing, markup, masking
+from ..sources import options
 from .base import table, written
 
 HOST, PATH, STEM = r"^[a-z]+://([^/:?#]+)", r"^[a-z]+://[^/?#]+(/[^/?#]*)", r"^[a-z]+://[^/?#]+([^?#]*)"
@@ -137,9 +139,8 @@ def classified(spark, sf_dir) -> DataFrame:
         F.expr("case when page_id % 17 = 3 then 'bodymatter' when page_id % 6 = 5 then 'toc' end").alias("landmark_type"),
     )
     rows = catalog.classify(catalog.number_in_order(rows, "book_id", ["page_id"])).withColumn("divider", catalog.part_divider())
-    first = lambda c: F.min(F.when(c, F.col("spine_index")))
-    body = rows.groupBy("book_id").agg(first(F.col("landmark_type") == "bodymatter").alias("landmark_body"), F.lit(None).cast("int").alias("guide_body"))
-    return rows.join(body, "book_id")
+    first = lambda c: F.min(F.when(c, F.col("spine_index"))).over(Window.partitionBy("book_id"))
+    return rows.withColumn("landmark_body", first(F.col("landmark_type") == "bodymatter")).withColumn("guide_body", first(F.col("page_id") % 10 == 4))
 
 
 _TOC = f"link_ratio >= {rules.CONTENTS_LEAST_LINKS}"
@@ -158,10 +159,12 @@ a as (select *, case
   when own = 'frontmatter' and text_len <= {rules.TINY_MOST_TEXT} then 'tiny|front matter' end as hit,
   text_len <= {rules.DIVIDER_MOST_TEXT} and text_len - heading_len <= {rules.DIVIDER_MOST_BODY}
     and (own = 'part' or (regexp_matches(' ' || names || ' ', ' (?:part|section|book|division)\\d* ') and heading_len > 0)) as divider from r),
-b as (select *, hit is not null or divider as front, min(case when landmark_type = 'bodymatter' then spine_index end) over (partition by book_id) as lb from a),
+b as (select *, hit is not null or divider as front, min(case when landmark_type = 'bodymatter' then spine_index end) over (partition by book_id) as lb,
+  min(case when page_id % 10 = 4 then spine_index end) over (partition by book_id) as gb from a),
 c as (select *, max(case when spine_index = lb and not front then lb end) over (partition by book_id) as l,
+  max(case when spine_index = gb and not front then gb end) over (partition by book_id) as g,
   min(case when not front then spine_index end) over (partition by book_id) as f, count(*) over (partition by book_id) as n from b),
-d as (select *, cast(coalesce(l, f, n) as integer) as body_index, case when l is not null then 'landmarks' when f is not null then 'first unclassified' else 'none' end as body_layer from c),
+d as (select *, cast(coalesce(l, g, f, n) as integer) as body_index, case when l is not null then 'landmarks' when g is not null then 'guide' when f is not null then 'first unclassified' else 'none' end as body_layer from c),
 e as (select *, case when spine_index < body_index then front or (body_layer = 'landmarks' and text_len <= {rules.UNCLASSIFIED_MOST_TEXT}) else divider end as excluded from d)"""
 
 
@@ -183,11 +186,19 @@ def trim_exclude(spark, sf_dir):
     return catalog.number_in_order(kept, "book_id", ["page_id"], "position").select("book_id", "page_id", "position")
 
 
-@query(f"with {_P} select book_id, cast(page_id as varchar) as idref, cast(row_number() over (partition by book_id order by page_id) - 1 as integer) as position from p")
+@query(f"""with {_C} select book_id, cast(page_id as varchar) as idref, cast(row_number() over (partition by book_id order by page_id) - 1 as integer) as position
+from e where excluded or page_id % 9 <> 4""")
 def restore_order(spark, sf_dir):
-    rows = written(catalog.decide(classified(spark, sf_dir)).select("book_id", "idref", "spine_index", "excluded"))
+    """Of what isn't excluded a ninth was lost in between, so anchors are missing."""
+    rows = written(catalog.decide(classified(spark, sf_dir)).select("page_id", "book_id", "idref", "spine_index", "excluded"))
     gone = rows.where("excluded").select("book_id", "idref")
-    return catalog.restore(rows.select("book_id", "idref", "spine_index"), rows.where("not excluded").select("book_id", "idref", "spine_index"), gone)
+    return catalog.restore(rows.select("book_id", "idref", "spine_index"), rows.where("not excluded and page_id % 9 <> 4").select("book_id", "idref", "spine_index"), gone)
+
+
+@query(f"""with {_P}, s as (select book_id, page_id, {_SPINE} from p) select book_id, page_id, spine_index from s where spine_index in (0, 1, 2, 5)""")
+def spine_selection(spark, sf_dir):
+    spine = catalog.number_in_order(pages(spark, sf_dir).select("page_id", "book_id", F.col("page_id").cast("string").alias("idref")), "book_id", ["page_id"])
+    return books.select_spine(spine, options.index_ranges("0-2,5", 6)).select("book_id", "page_id", "spine_index")
 
 
 @query(f"""with {_P}, {_L}, k as (select distinct book_id, path from p)
@@ -277,16 +288,79 @@ def html_text(spark, sf_dir):
     return text.select("page_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(rf"""with {_P} select book_id, page_id, cast(len(regexp_extract_all(html, '(?is)<script\b.*?</script\s*>')) as bigint) as n_masked, true as identical from p""")
 def mask_round_trip(spark, sf_dir):
+    """Scripts as code elements, masked in whole books and put back."""
     docs = pages(spark, sf_dir).select("book_id", F.format_string("%012d", "page_id").alias("path"), F.regexp_replace("html", r"(?i)(</?)script\b", "$1code").alias("html"))
-    masked = masking.mask_books(docs, "code")
+    hidden = written(masking.mask_books(docs, written, "code"))
+    back = masking.unmask_books(hidden).select("book_id", "path", F.col("html").alias("again"), "restored")
+    both = back.join(docs.withColumnRenamed("html", "was"), ["book_id", "path"])
+    return both.select("book_id", F.col("path").cast("long").alias("page_id"), F.size("restored").cast("long").alias("n_masked"), (F.col("again") == F.col("was")).alias("identical"))
 
-    def back(html, idx, original):
-        return masking.unmask(html, code=dict(zip(idx, original, strict=True)))[0]
 
-    both = masked.withColumn("again", F.udf(back, "string")("html", "idx", "original")).join(docs.withColumnRenamed("html", "was"), ["book_id", "path"])
-    return both.select("book_id", F.col("path").cast("long").alias("page_id"), F.size("idx").cast("long").alias("n_masked"), (F.col("again") == F.col("was")).alias("identical"))
+_KEPT = "k as (select distinct book_id, path from p where page_id % 3 <> 0)"
+
+
+@query(rf"""with {_P}, {_KEPT}, a as (select page_id, book_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>.*?</a\s*>')) as a from p),
+h as (select page_id, book_id, regexp_extract(a, '\bhref\s*=\s*"([^"]*)"', 1) as href, strlen(a) - strlen(regexp_replace(regexp_replace(a, '(?is)^<a\b[^>]*>', ''), '(?i)</a\s*>$', '')) as shorter from a),
+d as (select h.page_id, count(*) as n, sum(shorter) as bytes from h left join k on h.book_id = k.book_id and split_part(h.href, '#', 1) = k.path
+  where h.href <> '' and h.href not like '#%' and h.href not like '//%' and not regexp_matches(h.href, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') and k.path is null group by h.page_id)
+select p.page_id, cast(coalesce(n, 0) as bigint) as n_degraded, cast(strlen(html) - coalesce(bytes, 0) as bigint) as bytes_after from p left join d on p.page_id = d.page_id""")
+def degraded_links(spark, sf_dir):
+    """Links to the third of the pages that is cut are replaced by their text, each page with what its host keeps."""
+    page = pages(spark, sf_dir)
+    kept = page.where("page_id % 3 <> 0").groupBy("book_id").agg(F.collect_set("path").alias("kept"))
+    rows = page.select("page_id", "book_id", "path", "html").join(kept, "book_id", "left")
+
+    def run(frames):
+        for f in frames:
+            made = [markup.degrade_links(p, h, () if k is None else k) for p, h, k in zip(f["path"], f["html"], f["kept"], strict=True)]
+            yield pd.DataFrame({"page_id": f["page_id"], "n_degraded": [m[1] for m in made], "bytes_after": [len(m[0].encode()) for m in made]})
+
+    return rows.select("page_id", "path", "html", "kept").mapInPandas(run, "page_id long, n_degraded long, bytes_after long")
+
+
+@query(f"with {_P}, {_L}, {_KEPT} select l.book_id, count(*) as n_references from l join k on l.book_id = k.book_id and l.href = k.path group by l.book_id")
+def guide_keep(spark, sf_dir):
+    kept = pages(spark, sf_dir).where("page_id % 3 <> 0")
+    return editing.keep_guide(links(spark, sf_dir).select("book_id", "href", F.col("href").alias("path")), kept).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_references"))
+
+
+@query(f"""with {_P}, {_L}, k as (select distinct book_id, path from p), d as (select l.book_id, l.page_id from l left join k on l.book_id = k.book_id and l.href = k.path where k.path is null)
+select coalesce(book_id, '') as book_id, count(*) as n_dangling, count(distinct page_id) as n_pages from d group by rollup (book_id)""")
+def dangling_totals(spark, sf_dir):
+    gone = editing.dangling(links(spark, sf_dir).select("page_id", "book_id", F.col("href").alias("path")), pages(spark, sf_dir))
+    return gone.rollup("book_id").agg(F.count(F.lit(1)).alias("n_dangling"), F.countDistinct("page_id").alias("n_pages")).na.fill("", ["book_id"])
+
+
+@query(rf"""with {_P}, r as (select page_id, regexp_replace(html, '(?i)<(h[1-6]|p|div|ul)\b', '<\1 role="R-\1 x" data-type="\1"', 'g') as html from p),
+t as (select page_id, list_filter(list_transform(regexp_extract_all(substr(regexp_replace(html, '(?is)^.*?<body\b[^>]*>', ''), 1, {rules.STRUCTURE_WINDOW}),
+    '<([a-zA-Z][\w:-]*)\b[^>]*>', 1), lambda x: lower(x)), lambda x: x not in ({_INLINE}))[1:{rules.STRUCTURE_RANK}] as tags from r)
+select page_id, array_to_string(list_sort(list_distinct(flatten(list_transform(tags, lambda t: case when regexp_matches(t, '^(h[1-6]|p|div|ul)$') then [t, 'r-' || t, 'x'] else [] end)))), ' ') as types from t""")
+def structural_types(spark, sf_dir):
+    html = F.regexp_replace("html", r"(?i)<(h[1-6]|p|div|ul)\b", '<$1 role="R-$1 x" data-type="$1"')
+    return pages(spark, sf_dir).select("page_id", F.array_join(F.array_sort(T.structural_types(html)), " ").alias("types"))
+
+
+@query(f"""with {_P}, {_L}, h as (select page_id, length(html) / 2 as hint, html from p), x as (select page_id, hint, unnest(generate_series(0, 9)) * length(html) // 9 as place from h)
+select page_id, arg_min(place, (abs(place - hint), place)) as place from x group by page_id""")
+def nearest_place(spark, sf_dir):
+    page = pages(spark, sf_dir).select("page_id", F.length("html").alias("n"))
+    places = page.select("page_id", F.explode(F.expr("transform(sequence(0, 9), i -> bigint(i * n div 9))")).alias("place"))
+    return editing.nearest(places, page.select("page_id", (F.col("n") / 2).alias("hint")), "page_id").select("page_id", "place")
+
+
+@query(f"""with {_P}, {_L}, f as (select distinct book_id, path from p where path <> '/'), r as (select distinct book_id, substr(href, 2) as href from l),
+c as (select r.book_id, r.href, unnest([1, 2, 3, 4, 5]) as rank, unnest(['/' || r.href, '/' || regexp_extract(r.href, '[^/]*$'), '/assets/' || regexp_extract(r.href, '[^/]*$'), '/assets/' || regexp_extract(r.href, '[^/]*$'),
+  '/_tmp/assets/' || regexp_extract(r.href, '[^/]*$')]) as path from r where r.href <> '' and r.href not like '%/' and r.href not like '/%'),
+b as (select c.book_id, c.href, c.path, c.rank from c join f on c.book_id = f.book_id and c.path = f.path
+  union all select r.book_id, r.href, f.path, 6 from r join f on r.book_id = f.book_id and regexp_extract(f.path, '[^/]*$') = regexp_extract(r.href, '[^/]*$'))
+select c.book_id, c.href, coalesce(min(b.p), '') as path from (select distinct book_id, href from c) c left join (select book_id, href, arg_min(path, (rank, path)) as p from b group by book_id, href) b
+on c.book_id = b.book_id and c.href = b.href group by c.book_id, c.href""")
+def image_places(spark, sf_dir):
+    hrefs = links(spark, sf_dir).select("book_id", F.lit("").alias("folder"), F.expr("substr(href, 2)").alias("href")).where("href <> '' and href not like '%/' and href not like '/%'")
+    found = editing.find_images(hrefs, pages(spark, sf_dir).where("path <> '/'"))
+    return found.select("book_id", "href", F.coalesce("path", F.lit("")).alias("path"))
 
 
 @query(f"with {_P}, {_L} select count(*) as n_links, count(distinct href) as n_targets, count(distinct page_id) as n_pages from l")

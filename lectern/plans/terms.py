@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions import text as T
-from ..operators import catalog, enrich, glossary
+from ..operators import books, catalog, enrich, glossary
 from .base import table, written
 
 Q: dict = {}
@@ -98,8 +98,8 @@ def casefold_dedup(spark, sf_dir):
     return glossary.dedup_casefold(entries(spark, sf_dir)).select("en", "zh", "freq", "confidence")
 
 
-@query(rf"""with {_E}, x as (select en, unnest(string_split(en, ' and ')) as part from e where en like '% and %'),
-d as (select x.en from x left join (select distinct en from e) k on x.part = k.en group by x.en having bool_and(k.en is not null))
+@query(rf"""with {_E}, x as (select en, unnest(string_split_regex(en, '\s+and\s+')) as part, len(string_split_regex(en, '\s+and\s+')) as n from e),
+d as (select x.en from x left join (select distinct lower(en) as k from e) k on lower(trim(x.part)) = k.k where n > 1 group by x.en having bool_and(k.k is not null))
 select en, freq from e where en not in (select en from d)""")
 def coordinations(spark, sf_dir):
     return glossary.drop_coordinations(entries(spark, sf_dir)).select("en", "freq")
@@ -126,7 +126,7 @@ def name_components(spark, sf_dir):
 
 @query(f"""with {_COMPONENTS}, bad as (select distinct c.component from k join e s on s.en = k.short join e l on l.en = k.long join comp c on c.id = k.short where s.zh <> '' and l.zh <> '' and not contains(l.zh, s.zh)),
 notes as (select component, string_agg(id, '/' order by id) as forms from comp where component in (select component from bad) group by component)
-select e.en, case when n.forms is not null then 'low' else e.confidence end as confidence, md5(coalesce(n.forms, e.note)) as note_md5
+select e.en, case when n.forms is not null then 'low' else e.confidence end as confidence, md5(case when n.forms is not null then '{rules.NOTE_CONFLICT}' || n.forms else e.note end) as note_md5
 from e left join comp c on c.id = e.en left join notes n on n.component = c.component""")
 def name_conflicts(spark, sf_dir):
     return glossary.flag_conflicts(written(entries(spark, sf_dir)), written).select("en", "confidence", F.md5("note").alias("note_md5"))
@@ -137,6 +137,20 @@ def same_value_collapse(spark, sf_dir):
     return glossary.collapse_same_value(glossary.dedup_casefold(entries(spark, sf_dir)))
 
 
+@query(f"""with {_E}, f as (select en, upper(zh) as z from e where pos % 2 = 0 and freq > 1)
+select e.en, coalesce(f.z, e.zh) as zh, case when f.z is not null then '{rules.NOTE_UNIFIED}' else e.note end as note from e left join f on e.en = f.en""")
+def consistent_values(spark, sf_dir):
+    rows = entries(spark, sf_dir)
+    fixed = rows.where("pos % 2 = 0").select(F.concat(F.lit(" "), "en").alias("en"), F.when(F.col("freq") > 1, F.upper("zh")).otherwise("").alias("zh"), "pos")
+    return glossary.apply_consistent(rows, fixed).select("en", "zh", "note")
+
+
+@query()
+def reconciled(spark, sf_dir):
+    """All steps of reconciling, one after the other; no SQL: the greedy collapse is tested against brute force."""
+    return glossary.reconcile(written(entries(spark, sf_dir)), written).select("en", "zh", "freq", "confidence", "note")
+
+
 @query(f"""with {_E}, t as (select en, zh, pos, freq from e where trim(en) <> '' and trim(zh) <> '' order by freq desc, lower(en), pos limit {rules.PROMPT_CAP})
 select count(*) as n_terms, string_agg('- ' || en || ' → ' || zh, chr(10) order by freq desc, lower(en), pos) as block from t""")
 def prompt_block(spark, sf_dir):
@@ -148,16 +162,23 @@ def term_batches(spark, sf_dir):
     return enrich.batches(entries(spark, sf_dir), ["pos"], parts="zh").select("en", "batch")
 
 
+@query(f"with {_E} select en, cast(floor((row_number() over (order by freq desc, lower(en), pos) - 1) / {rules.BATCH}) as bigint) as batch from e")
+def term_batches_of_all(spark, sf_dir):
+    return enrich.batches(entries(spark, sf_dir), [F.desc("freq"), F.lower("en"), "pos"], checkpoint=written).select("en", "batch")
+
+
 def resolutions(spark, sf_dir) -> DataFrame:
     """labels as answers about documents: batches of consecutive ids, those with toxic text failed."""
-    rows = table(spark, sf_dir, "labels")
+    again = table(spark, sf_dir, "labels").where("doc_id % 3 = 0").select("doc_id", (1 - F.col("quality")).alias("quality"), "toxic", (F.col("doc_id") + 1_000_000_000).alias("at"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.col("doc_id").alias("at")).unionByName(again)  # a third is answered twice
     return rows.select(
         F.col("doc_id").cast("string").alias("en"), F.concat(F.lit("v"), F.col("quality").cast("string")).alias("zh"), F.when(F.col("quality") == 0, "skip").otherwise("high").alias("confidence"),
-        F.lit("").alias("alt"), F.lit("").alias("note"), F.floor(F.col("doc_id") / rules.BATCH).cast("long").alias("batch"), (F.col("toxic") == 1).alias("failed"),
+        F.lit("").alias("alt"), F.lit("").alias("note"), F.floor(F.col("at") / rules.BATCH).cast("long").alias("batch"), (F.col("toxic") == 1).alias("failed"),
     )
 
 
-_R = f"""r as (select cast(doc_id as varchar) as en, 'v' || quality as zh, case when quality = 0 then 'skip' else 'high' end as confidence, cast(floor(doc_id / {rules.BATCH}) as bigint) as batch, toxic = 1 as failed from labels)"""
+_R = f"""r as (select cast(doc_id as varchar) as en, 'v' || quality as zh, case when quality = 0 then 'skip' else 'high' end as confidence, cast(floor(nr / {rules.BATCH}) as bigint) as batch, toxic = 1 as failed
+  from (select doc_id, quality, toxic, doc_id as nr from labels union all select doc_id, 1 - quality, toxic, doc_id + 1000000000 from labels where doc_id % 3 = 0))"""
 
 
 @query(f"""with {_R}, l as (select en, arg_max(zh, batch) as zh, arg_max(confidence, batch) as confidence from r where not failed group by en)
@@ -186,7 +207,14 @@ f as (select id, min((part, pos)) as k from u group by id) select id, row_number
 def union_in_order(spark, sf_dir):
     one = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("pos"))
     two = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("-"), "source").alias("id"), F.col("doc_id").alias("pos"))
-    return catalog.union_in_order(one, two).select("id", F.col("pos").cast("long").alias("pos"))
+    return catalog.union_in_order(written, one, two).select("id", F.col("pos").cast("long").alias("pos"))
+
+
+@query("select lang, md5(string_agg(coalesce(text, ''), chr(10) order by doc_id)) as text_md5 from documents group by lang")
+def joined_texts(spark, sf_dir):
+    """A language's documents as one book, which only small tables allow; operators work on documents."""
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("book_id"), F.col("doc_id").alias("spine_index"), F.coalesce("text", F.lit("")).alias("text"))
+    return books.whole_text(rows).select(F.col("book_id").alias("lang"), F.md5("text").alias("text_md5"))
 
 
 @query("select lang, count(*) as n, sum(length(text))::bigint as chars from documents group by lang")

@@ -15,6 +15,31 @@ def merged(given: dict | None) -> dict:
     return {**DEFAULTS, **given, "glossary": {**DEFAULTS["glossary"], **(given.get("glossary") or {})}}
 
 
+def load(path: str) -> dict:
+    """The options of a YAML (or JSON) file over the defaults."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+
+        given = yaml.safe_load(text)
+    except ImportError:  # JSON is what can be read without it
+        given = json.loads(text)
+    if given is not None and not isinstance(given, dict):
+        raise ValueError(f"{path}: not a mapping")
+    return merged(given)
+
+
+def check_input(path: str, suffix: str = ".epub", exists=os.path.exists, **selectors) -> None:
+    """Raises unless the input exists and has the suffix, and exactly one of the selectors, if any are named, is given."""
+    if not exists(path):
+        raise FileNotFoundError(path)
+    if not path.lower().endswith(suffix):
+        raise ValueError(f"{path}: not a {suffix} file")
+    if selectors and sum(bool(v) for v in selectors.values()) != 1:
+        raise ValueError(f"give exactly one of {', '.join(selectors)}")
+
+
 def env(name: str, default=None, kind=str, required: bool = False):
     """A variable as str, int, float or a JSON object (dict); an empty one counts as unset."""
     raw = os.environ.get(name, "").strip()

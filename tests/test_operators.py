@@ -1,5 +1,6 @@
 """Small fixtures for the cases in which a plain translation would give another answer."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -15,14 +16,27 @@ def test_acronyms_and_names_count_twice(spark):
     assert {r.term: r.freq for r in glossary.candidates(both).collect()} == {"TSMC": 2, "Intel DRAM": 1, "DRAM": 1}
 
 
-def test_name_runs():
-    none = frozenset()
-    assert glossary.name_runs("the Bank of England rose", none) == ["Bank of England"]
-    assert glossary.name_runs("near the Bank of In town", none) == ["Bank of"]
-    assert glossary.name_runs("met Ford, Intel", none) == ["Ford", "Intel"]
-    assert glossary.name_runs("Zebras ran.", none) == []
-    assert glossary.name_runs("Zebras ran.", frozenset({"Zebras"})) == ["Zebras"]
-    assert glossary.name_runs("saw Grove's plan", none) == ["Grove"]
+def test_name_runs(spark):
+    lines = {
+        "the Bank of England rose": ["Bank of England"],
+        "near the Bank of In town": ["Bank of"],
+        "met Ford, Intel": ["Ford", "Intel"],
+        "Zebras ran.": [],
+        "Yaks ran to Yaks": ["Yaks", "Yaks"],
+        "saw Grove's plan": ["Grove"],
+        "the Of Of Of ran": [],
+        "we saw De Van Ford go": ["De van Ford"],
+        "so AT & T grew": ["AT T"],
+        "in De": ["De"],
+        "a B-29 and the Chip": ["B-29", "Chip"],
+        "": [],
+    }
+    sentences = spark.createDataFrame([(i, 0, t) for i, t in enumerate(lines)], "doc_id long, sent int, sentence string")
+    trusted = spark.createDataFrame([("Yaks",)], "token string")
+    got = {}
+    for r in glossary.name_run_rows(sentences, trusted).orderBy("doc_id", "seq").collect():
+        got.setdefault(r.doc_id, []).append(r.term)
+    assert {t: got.get(i, []) for i, t in enumerate(lines)} == lines
 
 
 def entries(spark, *rows):
@@ -35,18 +49,32 @@ def test_casefold(spark):
 
 
 def test_coordinations(spark):
-    got = glossary.drop_coordinations(entries(spark, ("A1 and B1", "", 1), ("A1", "", 1), ("B1", "", 1), ("A1 and C1", "", 1)))
-    assert {r.en for r in got.collect()} == {"A1", "B1", "A1 and C1"}
+    got = glossary.drop_coordinations(entries(spark, ("A1  and b1", "", 1), ("a1", "", 1), ("B1", "", 1), ("A1 and C1", "", 1)))
+    assert {r.en for r in got.collect()} == {"a1", "B1", "A1 and C1"}
 
 
 def test_conflicting_names(spark):
     got = glossary.flag_conflicts(entries(spark, ("Grove", "x", 2), ("Andy Grove", "y", 1), ("Ann", "z", 1)), written)
-    assert {r.en: (r.confidence, r.note) for r in got.collect()} == {"Grove": ("low", "Andy Grove/Grove"), "Andy Grove": ("low", "Andy Grove/Grove"), "Ann": ("medium", "")}
+    assert {r.en: (r.confidence, r.note) for r in got.collect()} == {"Grove": ("low", "不一致待统一: Andy Grove/Grove"), "Andy Grove": ("low", "不一致待统一: Andy Grove/Grove"), "Ann": ("medium", "")}
 
 
 def test_collapse_is_greedy(spark):
     got = glossary.collapse_same_value(entries(spark, ("Grove", "x", 5), ("Andy Grove", "x", 3), ("Intel", "x", 1), ("Foo", "", 1))).collect()
-    assert {(r.en, r.freq) for r in got} == {("Grove", 8), ("Intel", 1), ("Foo", 1)}
+    assert {(r.en, r.freq, r.note) for r in got} == {("Grove", 8, "也作: Andy Grove"), ("Intel", 1, ""), ("Foo", 1, "")}
+    # "b c" is passed over before "a b" joins the family of "a", and is not looked at again
+    assert glossary.families(["a", "b c", "a b", "c"]) == [[0, 2], [1, 3]]
+    assert glossary.families(["Chip", "chip", "chipset"]) == [[0, 2], [1]]
+
+
+def test_consistent_values(spark):
+    rows = entries(spark, ("Grove", "x", 2), ("Andy Grove", "y", 1))
+    fixed = spark.createDataFrame([(" Grove ", "z"), ("Andy Grove", " ")], "en string, zh string")
+    assert {(r.en, r.zh, r.note) for r in glossary.apply_consistent(rows, fixed).collect()} == {("Grove", "z", "已统一"), ("Andy Grove", "y", "")}
+
+
+def test_prompt(spark):
+    rows = entries(spark, ("A", "x", 1), ("B", "y", 2), ("C", "", 9))
+    assert glossary.prompt("base", rows).endswith("\n- B → y\n- A → x") and glossary.prompt("base", rows.limit(0)) == "base"
 
 
 def test_code_masks():
@@ -111,14 +139,22 @@ def test_validation(spark):
 
 def test_budget_and_batches(spark):
     def resolver(names):
-        if "n3" in names:
+        if "n3" in {r["en"] for r in names}:
             raise RuntimeError("down")
-        return [{"en": n, "zh": n.upper(), "confidence": "skip" if n == "n1" else "high"} for n in names]
+        return [{"en": r["en"], "zh": r["en"].upper(), "confidence": "skip" if r["en"] == "n1" else "high"} for r in names]
 
     rows = spark.createDataFrame([(f"n{i}", i) for i in range(6)], "en string, pos long")
     got = written(enrich.resolve(enrich.batches(rows, ["pos"], size=2), resolver))
     row = enrich.failure_ratio(got).first()
     assert (row.n_batches, row.n_failed, row.over_budget) == (3, 1, True)
+    assert {r.reason for r in got.collect()} == {"", "RuntimeError: down"}
+    with pytest.raises(RuntimeError):
+        enrich.check_budget(got)
+    refused = enrich.resolve(rows.withColumn("batch", F.lit(1)), lambda b: [], check=lambda said: None if said else "nothing said")
+    assert {r.reason for r in refused.collect()} == {"nothing said"}
+    counted, seen = enrich.watched(rows, "progress", most=F.max("pos"))
+    counted.collect()
+    assert seen.get == {"rows": 6, "most": 5}
     assert {r.en: r.zh for r in enrich.apply_resolution(rows, got).collect()} == {"n0": "N0", "n2": "", "n3": "", "n4": "N4", "n5": "N5"}
 
 
