@@ -3,37 +3,21 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import written
+
 #: Split size (bytes of text) up to which Python stages gather documents before they hash them together.
 CHUNK_BYTES = 4 << 20
 #: Bytes of a batch between the JVM and a Python worker.
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Where it is unset, a temporary folder is set
-    on a local master alone (tests); a cluster must name one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: it cuts lineage, survives lost executors
-    (the files belong to the shared store), and later reads prune columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df``, written in the shared folder and read back."""
+    return written(df, name)
 
 
 def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
