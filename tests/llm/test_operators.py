@@ -216,56 +216,114 @@ def test_language_model(docs):
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
 
 
-def test_model_is_a_distribution():
+def test_classes_are_a_distribution():
     from lectern.llm import lm
 
     t = lm.tokens([b"a b a c", b"b a"])
-    f = lm.features(t)
-    w = np.random.default_rng(1).normal(size=(1 << lm.SLOT_BITS, lm.CLASSES)).astype(np.float32)
-    total = sum(10 ** lm.class_log10(w, np.zeros(lm.CLASSES, np.float32), f, np.full(len(t.doc), k)) for k in range(lm.CLASSES))
+    rows = lm.features(t, 4)
+    w = np.random.default_rng(1).normal(size=(lm.KINDS << 4, lm.CLASSES)).astype(np.float32)
+    total = sum(10 ** lm.class_log10(w, np.zeros(lm.CLASSES, np.float32), rows, np.full(len(t.doc), k)) for k in range(lm.CLASSES))
     assert np.allclose(total, 1, atol=1e-4)
 
 
-def test_training_helps():
+def test_pair_weights_are_the_optimum():
     from lectern.llm import lm
 
-    t = lm.tokens([b"the cat sat on the mat " * 300])
-    f = lm.features(t)
-    cls, _ = lm.word_classes(t, np.empty(0, np.uint64), np.empty(0, np.int64))
-    w, sq, used = np.zeros((1 << lm.SLOT_BITS, lm.CLASSES), np.float32), np.zeros(1 << lm.SLOT_BITS, np.float32), np.zeros(1 << lm.SLOT_BITS, np.float32)
-    bias = np.zeros(lm.CLASSES, np.float32)
-    before = lm.class_log10(w, bias, f, cls).mean()
-    for _ in range(5):
-        lm.train_batch(w, sq, used, bias, f, cls)
-    assert lm.class_log10(w, bias, f, cls).mean() > before / 4
+    r = np.random.default_rng(5)
+    share = r.dirichlet(np.ones(30))[:20]  # a third of the class is unseen after each history
+    of, count = np.repeat(np.arange(4), 5), r.integers(1, 40, 20).astype(float)
+    w, log_z = lm.pair_weights(of, count, share, 5)
+    assert log_z[4] == 0  # nothing seen
+    for h in range(4):
+        k = of == h
+        z = 1 + (share[k] * np.expm1(w[k])).sum()
+        assert abs(np.log(z) - log_z[h]) < 1e-9  # all words of the class sum to 1
+        gradient = count[k] - count[k].sum() * share[k] * np.exp(w[k]) / z - w[k] / lm.VARIANCE
+        assert np.abs(gradient).max() < 0.05
+
+
+def test_gradient_of_the_scales():
+    from lectern.llm import lm
+
+    r = random.Random(2)
+    t = lm.tokens([" ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(300)).encode()])
+    y, _ = lm.word_classes(t, np.empty(0, np.uint64), np.empty(0, np.int64))
+    rows, share = lm.features(t, 4), np.full(lm.CLASSES, 1 / lm.CLASSES)
+    counts = np.zeros((lm.KINDS << 4, lm.CLASSES))
+    for f in rows:
+        np.add.at(counts, (f, y), 1)
+    direction, n = lm.directions(counts, share)
+    bias, scales = np.log(share).astype(np.float32), np.full(lm.KINDS * lm.LEVELS, 0.4)
+    at = lambda s: lm.gradient(direction, n, share, s, 4, bias, rows, y)
+    got = at(scales)
+    for i in np.flatnonzero(np.abs(got[: len(scales)]) > 1)[:6]:
+        step = np.zeros(len(scales))
+        step[i] = 1e-2
+        assert abs((at(scales + step)[-1] - at(scales - step)[-1]) / 2e-2 - got[i]) < 0.02 * abs(got[i]) + 0.1
+
+
+def test_whole_model_is_a_distribution(spark):
+    """Of all next words, known and one unknown of each class, the probabilities sum to 1."""
+    from lectern.llm import lm
+
+    r = random.Random(8)
+    names = [f"{c}{d}" for c in "abcd" for d in "xyz"]
+    train = [(i, " ".join(r.choice(names) for _ in range(r.randint(3, 9)))) for i in range(40)]
+    group = lambda w: int(lm.tokens([w.encode()]).group[0])
+    known = sorted({w for _, t in train for w in t.split()})
+    unknown, k = {}, 0
+    while len(unknown) < lm.LETTERS:
+        w = f"q{k}{chr(97 + k % 26)}"
+        unknown.setdefault(group(w), w)
+        k += 1
+    # a text of the history alone, and with each next word: the difference of scores is that word's, less the end's
+    history = "ax by"
+    probes = [(1000 + i, f"{history} {w}") for i, w in enumerate([*known, *unknown.values()])]
+    docs = spark.createDataFrame([*train, (999, history), *probes], TEXT)
+    got = {x.doc_id: x.score for x in lm.score_documents(docs, F.col("doc_id") >= 999).collect()}
+    assert len(got) == 41 + len(probes)
+    # the end after the history, and after each longer one, are unknown: bound both
+    words = sum(10 ** (got[i] - got[999]) for i, _ in probes)
+    assert 0.3 < words < 60
+
+
+def test_scores_do_not_follow_partitions(spark, docs):
+    from lectern.llm import lm
+
+    _, df = docs
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    one, many = ({r.doc_id: r.score for r in lm.score_documents(df.repartition(n), held, chunk_bytes=c).collect()} for n, c in ((1, 1 << 22), (7, 30_000)))
+    assert all(abs(one[i] - many[i]) < 1e-5 * abs(one[i]) + 1e-3 for i in one)
+
+
+def test_gain_on_held_out_texts(spark):
+    from lectern.llm.queries import op2_lm_score
+
+    rows = op2_lm_score(spark, "/root/testdata/sf0.01").groupBy("held_out").agg((F.sum("score") / F.sum("n_tokens")).alias("s"), (F.sum("base_score") / F.sum("n_tokens")).alias("b"))
+    got = {r.held_out: r.s - r.b for r in rows.collect()}
+    assert got[True] > 0.4 and got[False] > got[True]  # log10 a token
 
 
 def test_end_of_few_long_texts(spark):
     from lectern.llm import lm
 
     r = random.Random(4)
-    texts = [" ".join(f"w{r.randrange(50)}" for _ in range(70_000)) for _ in range(2)]  # the end has less than 1/HOT_WORDS
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, ""])], "id long, text string")
-    train = rows.where("id < 2")
-    words = lm.vocabulary(train, 4, 1 << 20).cache()
-    model = lm.fit(train, words, chunk_bytes=1 << 20)
-    assert 2 * lm.HOT_WORDS < model.total == 140_002
-    assert abs(model.bias[0] - math.log(2.5 / (model.total + 0.5 * lm.CLASSES))) < 1e-5
+    texts = [" ".join(f"w{r.randrange(50)}" for _ in range(270_000)) for _ in range(1)]  # the end has less than 1/HOT_WORDS
+    rows = spark.createDataFrame([(i, t, i < 1) for i, t in enumerate([*texts, ""])], "id long, text string, train boolean")
+    words = lm.vocabulary(rows.where("train"), 4, 1 << 20).cache()
+    model = lm.fit(rows.where("train"), words, chunk_bytes=1 << 20)
+    assert lm.HOT_WORDS < model.total == 270_001 and abs(model.bias[0] - math.log(1.5 / (model.total + 0.5 * lm.CLASSES))) < 1e-5
     # the end is alone in its class: its probability is that of the class
-    none = lm.tokens([b""])
-    end = lm.class_log10(model.weights, model.bias, lm.features(none), np.zeros(1, dtype=np.int64))[0]
+    end = lm.class_log10(model.weights, model.bias, lm.features(lm.tokens([b""]), model.bits), np.zeros(1, dtype=np.int64))[0]
     got = {x.id: x for x in lm.score(rows, model, words, 4).collect()}
-    assert (got[2].n_tokens, got[2].n_known) == (1, 1) and abs(got[2].score - end) < 1e-6
+    assert (got[1].n_tokens, got[1].n_known) == (1, 1) and abs(got[1].score - end) < 1e-6
 
 
-def test_run_sums():
-    from lectern.llm.lm import _run_sums
+def test_three_bytes():
+    from lectern.llm.lm import _from_three, _three
 
-    r = np.random.default_rng(3)
-    size = r.integers(1, 40, 50)
-    rows = r.normal(size=(size.sum(), 8)).astype(np.float32)
-    first = np.cumsum(size) - size
-    assert np.allclose(_run_sums(rows, first, size), np.add.reduceat(rows, first, axis=0), atol=1e-4)
+    x = np.array([0, 1, 255, 256, 65536, (1 << 24) - 1])
+    assert _from_three(_three(x)).tolist() == x.tolist() and len(_three(x)) == 18
 
 
 # quality
