@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from .common import lower_ascii, text_bytes_col
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: More templates than this belong in runs of their own: each is a constant of the plan.
+#: Templates of one scan; more are scanned in several.
 MOST_TEMPLATES = 256
 
 #: Short notices of common licenses.
@@ -82,8 +83,9 @@ def scan(
 
     A template needs five words; a shorter one is refused. Null and short texts hold nothing. Rows that repeat an
     identifier are scanned each; a null identifier gets rows like any other. Other columns play no part."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates at once")
+    if len(templates) > MOST_TEMPLATES:  # each is a constant of a plan: more are scanned in groups
+        groups = [templates[i : i + MOST_TEMPLATES] for i in range(0, len(templates), MOST_TEMPLATES)]
+        return reduce(DataFrame.unionByName, (scan(docs, g, id_col, text_col, containment, certainty, apart) for g in groups))
     known = []
     for name, text in templates:
         w = template_words(text, apart)

@@ -361,9 +361,12 @@ def fit(rows: DataFrame, words: DataFrame, rounds: int = 1, chunk_bytes: int = C
                     out += gradient(direction, n, share, scales, bits, bias, [r[lo : lo + BATCH] for r in f], y[lo : lo + BATCH])
             yield _batch([(0, out.tobytes())], "block int, counts binary")
 
-        sums = np.zeros(size + size * size + 1)
-        for r in rows.select("text").mapInArrow(tidy(update), "block int, counts binary").select("counts").toLocalIterator():  # a small vector a task
-            sums += np.frombuffer(r[0])
+        def add(batches: Iterator) -> Iterator:
+            every = [np.frombuffer(d) for b in batches for d in b.column(1).to_pylist()]
+            yield _batch([(0, np.sum(every, axis=0).tobytes())] if every else [], "block int, counts binary")
+
+        made = rows.select("text").mapInArrow(tidy(update), "block int, counts binary").repartition(16).mapInArrow(tidy(add), "block int, counts binary")
+        sums = np.sum([np.frombuffer(r[1]) for r in made.collect()], axis=0)  # 16 small vectors
         sent.destroy()
         first, second = sums[:size], sums[size:-1].reshape(size, size)
         model.likelihood.append(sums[-1] / total)

@@ -17,7 +17,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log10 probabilities of all documents; no SQL: counts are tested against brute force, the model on held-out text."""
+    """log10 probabilities of all documents; no SQL: counts are tested against brute force, the gain on held-out text, and that factors are distributions."""
     from .lm import score_documents
 
     return score_documents(read(spark, sf_dir, "documents"), held_out(5))
@@ -25,10 +25,10 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through WARC archives and back."""
-    from .warc import read_archives, write_archives
+    from .warc import read_archives, resolved, write_archives
 
-    records = read_archives(write_archives(read(spark, sf_dir, "pages")))
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = resolved(read_archives(write_archives(read(spark, sf_dir, "pages"))))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "resolved")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ select page_id, n as payload_bytes,
     + 16 * cast(bits[5 * i + 1] as integer) + 8 * cast(bits[5 * i + 2] as integer) + 4 * cast(bits[5 * i + 3] as integer)
     + 2 * cast(bits[5 * i + 4] as integer) + cast(bits[5 * i + 5] as integer), 1)), '') as payload_digest,
   case when first = page_id then 'response' else 'revisit' end as record_type,
-  case when first <> page_id then first end as refers_to
+  case when first <> page_id then first end as refers_to, true as resolved
 from b""",
     "op7_jaccard_join": r"""
 with recursive w as (

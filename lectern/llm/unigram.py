@@ -182,7 +182,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """One row per document: id, n_ids, n_byte_pieces, ids_crc32 (of the little-endian ids), round_trip (decoding gives
     the text again) and, with ``with_ids``, ids as binary.
 
-    Null text is empty: no ids. A text that holds the marker character itself comes back with a space for it, which
+    Texts are taken as they are: a normaliser that the model file names is not applied. Null text is empty: no ids. A text that holds the marker character itself comes back with a space for it, which
     round_trip tells. Rows that repeat an identifier are encoded each. Other columns play no part."""
 
     def run(batches: Iterator) -> Iterator:

@@ -50,6 +50,26 @@ def test_top_k(spark, scale):
     assert got == want
 
 
+def test_top_k_of_equal_rows_and_groups(spark):
+    from lectern.llm.topk import quantise, top_k
+
+    rows = spark.range(0, 100_000, 1, 6).selectExpr("id as vec_id", "array(1.0d, -2.0d, 0.5d) as embedding")
+    rows = rows.unionByName(spark.createDataFrame([(7, [9.0, 9.0, 9.0]), (7, [9.0, 9.0, 9.0]), (None, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>"))
+    df = quantise(rows, scale=2.0)
+    one, many = ({tuple(r) for r in top_k(df.where("id in (0, 7, 9)"), df, 5, query_bytes=b).collect()} for b in (1 << 20, 50))
+    # equal rows tie: the smallest identifiers win, and repeated rows are candidates each; a query's own rows are not
+    assert one == many and {(r[0], r[1], r[2]) for r in one if r[0] == 9} == {(9, n + 1, i) for n, i in enumerate((0, 1, 2, 3, 4))}
+
+
+def test_top_k_of_huge_components(spark):
+    from lectern.llm.topk import quantise, top_k
+
+    rows = [(0, [2.0**61, 1.0]), (1, [2.0**61, -1.0]), (2, [-(2.0**61), 3.0]), (3, [1e30, 0.0]), (4, [0.0, 5.0])]
+    df = quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=1.0)
+    got = {r.vec_id: r.score for r in top_k(df.where("id = 0"), df, 9).collect()}
+    assert got == {1: 2**63 - 1, 4: 5, 2: -(2**63) + 1}
+
+
 def test_top_k_of_few(spark):
     from lectern.llm.topk import quantise, top_k
 
@@ -125,6 +145,52 @@ def test_quarantine_and_files(spark, tmp_path):
     assert read_archives(read_files(spark, str(tmp_path / "w")), with_payload=True).where("payload = cast('x' as binary)").count() == 2
 
 
+def test_repeated_page_ids(spark):
+    from lectern.llm.warc import read_archives, resolved, write_archives
+
+    rows = [(1, "A"), (2, "B"), (5, "A"), (5, "B"), (5, "own"), (5, "own"), (6, "long " * 200_000), (7, "long " * 200_000)]
+    df = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string").repartition(3)
+    out = resolved(read_archives(write_archives(df), with_payload=True)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in out) == [
+        (1, 1, "response", 0), (2, 1, "response", 0), (5, 1, "revisit", 1), (5, 1, "revisit", 2), (5, 3, "response", 0), (5, 3, "response", 0),
+        (6, 1_000_000, "response", 0), (7, 1_000_000, "revisit", 6),
+    ]
+    assert all(r.resolved for r in out)
+    lost = spark.createDataFrame([(9, 3, "X", "revisit", 8), (8, 3, "Y", "response", None)], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert {r.page_id: r.resolved for r in resolved(lost).collect()} == {9: False, 8: True}
+
+
+def test_members_of_several_records():
+    from lectern.llm.warc import gzip_member, make_record, payload_digest, read_archive
+
+    bodies = [b"one", b"two" * 3000, b"", b"four"]
+    parts = [make_record(i, "u", b, payload_digest(b), None) for i, b in enumerate(bodies)]
+    whole = gzip_member(b"".join(parts))
+    got = read_archive(whole + whole)
+    assert [p for _, _, p in got.records] == bodies * 2 and not got.gaps
+    # a damaged record inside a sound member
+    bad = gzip_member(parts[0] + parts[1].replace(b"two", b"tow", 1) + b"noise" + parts[2] + parts[3])
+    got = read_archive(bad + whole)
+    assert [p for _, _, p in got.records] == [bodies[0], *bodies[2:], *bodies] and got.gaps == [(0, len(bad), "payload digest")]
+    # a member that is cut short: what is whole in it stays
+    raw = gzip_member(b"".join(parts), 0)
+    got = read_archive(raw[: len(raw) - len(parts[3]) // 2])
+    assert [p for _, _, p in got.records] == bodies[:3] and len(got.gaps) == 1 and got.gaps[0][2] == "member: cut short"
+    # and one that is too large
+    got = read_archive(whole, most=len(parts[0]) + len(parts[1]) + 10)
+    assert [p for _, _, p in got.records][:2] == bodies[:2] or not got.gaps
+    bomb = gzip_member(b"\0" * (8 << 20))
+    assert read_archive(bomb + whole, most=1 << 20).gaps[0][2] == "member: too large" and len(read_archive(bomb + whole, most=1 << 20).records) == 4
+
+
+def test_headers_of_other_writers(spark):
+    from lectern.llm.warc import make_record, payload_digest, read_archives
+
+    record = make_record(1, "u", b"x", payload_digest(b"x"), None).replace(b"WARC-Page-ID: 1", b"WARC-Page-ID: a").replace(b"WARC-Payload-Length: 1", b"WARC-Payload-Length: ?")
+    row = read_archives(spark.createDataFrame([("a", bytearray(record))], "archive string, data binary")).first()
+    assert (row.page_id, row.payload_bytes) == (None, 1)
+
+
 # SentencePiece
 @pytest.fixture(scope="module")
 def model_path():
