@@ -329,7 +329,9 @@ def _components(join: _Join) -> DataFrame:
             label = components(links(compared).union(found))
     named = join.sets.select("v", "rep", *SET).join(label.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     named = materialize(named, "vertices")
-    return named.join(named.groupBy("component").agg(F.min("rep").alias("least")), "component").select(*SET, "component", "least")
+    # written first, so that a component of very many sets can be split when the two meet
+    least = materialize(named.groupBy("component").agg(F.min("rep").alias("least")), "components")
+    return named.join(least, "component").select(*SET, "component", "least")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -343,7 +345,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     rows = join.documents.where("n > 0").select("id", "th", *SET)
     of = rows.join(_components(join).drop("least"), SET)
     place = F.struct(F.col("id").isNull().alias("p"), "id", (-F.col("n")).alias("q"), "s1", "s2", "th")
-    stays = of.groupBy("component").agg(F.min_by(F.struct("id", "th"), place).alias("k"))
+    of = materialize(of, "members")
+    stays = materialize(of.groupBy("component").agg(F.min(place).alias("k")).select("component", F.struct("k.id", "k.th").alias("k")), "staying")
     gone = of.join(stays, "component").where(~(F.col("id").eqNullSafe(F.col("k.id")) & (F.col("th") == F.col("k.th"))))
     names = ["_lectern_id", "_lectern_none", "_lectern_text"]
     key = lambda i, th: [F.coalesce(i, F.lit(0)).alias(names[0]), i.isNull().alias(names[1]), th.alias(names[2])]

@@ -408,6 +408,93 @@ def test_band_settings():
         assert 1 - (1 - found / (block * blocks + m - found)) ** bands >= 0.999 - 1e-9
 
 
+def test_many_templates(spark, monkeypatch):
+    from lectern.llm import license_scan
+
+    monkeypatch.setattr(license_scan, "MOST_TEMPLATES", 3)
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(license_scan.TEMPLATES)], TEXT)
+    assert {(r.doc_id, r.license_id) for r in license_scan.scan(rows).collect()} == {(i, n) for i, (n, _) in enumerate(license_scan.TEMPLATES)}
+
+
+# what workers keep
+def test_chunks_are_bounded():
+    import pyarrow as pa
+
+    from lectern.llm.words import chunks
+
+    batch = pa.record_batch({"text": ["", None] * 50_000 + ["x" * 100] * 50})
+    got = list(chunks([batch, batch], "text", 1000, rows=4096))
+    assert sum(t.num_rows for t in got) == 2 * batch.num_rows and max(t.num_rows for t in got) <= 4096
+    assert all(sum(len(x or "") for x in t["text"].to_pylist()) <= 1000 for t in got)
+
+
+def test_caches_are_bounded():
+    from lectern.llm.caches import OVERHEAD, TwoAges, kept, tidy
+
+    c = TwoAges(10_000)
+    for i in range(1000):
+        c.put(f"k{i}", b"v")
+    c.put("x" * 300, b"v")
+    assert c["k999"] == b"v" and len(c) + len(c.old) <= 2 * (10_000 // OVERHEAD + 1) and "x" * 300 not in c
+    a = kept("a", "m", list)
+    assert kept("a", "m", list) is a
+    assert list(tidy(lambda b: iter(b), "b")([1, 2])) == [1, 2] and kept("a", "m", list) is not a
+
+
+def test_batches_of_the_session(spark):
+    from lectern.llm.common import bounded_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for given, want in (("64m", "8388608"), ("1m", "1m"), ("67108864b", "8388608")):
+        spark.conf.set(key, given)
+        bounded_batches(spark)
+        assert spark.conf.get(key).rstrip("b") == want
+    spark.conf.set(key, before)
+
+
+def test_quadratic_discriminant_by_brute_force(spark):
+    """The fitted model and its scores against densities computed one row at a time from the same statistics."""
+    from lectern.llm import quality
+
+    r = np.random.default_rng(3)
+    p = len(quality.FEATURES)
+    x = np.column_stack([r.normal(size=(80, p)) * np.arange(1, p + 1), r.integers(0, 60, 80)])
+    y = r.integers(0, 2, 80)
+    x[:, 0] += 2 * y
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], int(y[i])) for i in range(80)], "id long, x array<double>, label int").repartition(3)
+    model = quality.fit(rows, shrinkage=0.3)
+    z = [[(x[i, j] - x[:, j].mean()) / x[:, j].std() * x[i, p] / (x[i, p] + quality.HALF) for j in range(p)] for i in range(80)]
+    pooled = np.diag([max(np.mean([row[j] ** 2 for row in z]), 1e-3) for j in range(p)])
+    side = []
+    for k in (0, 1):
+        own = np.array([z[i] for i in range(80) if y[i] == k])
+        m, n = own.mean(0), len(own)
+        c = sum(np.outer(v - m, v - m) for v in own) / n
+        w = (0.3 * n + p) / (n + p)
+        side.append((m, (1 - w) * c + w * pooled, math.log((n + 1) / 82)))
+    got = {g.id: g.score for g in quality.score(rows, model).collect()}
+    for i in range(80):
+        d = [prior - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (z[i] - m) @ np.linalg.solve(c, z[i] - m) for m, c, prior in side]
+        assert abs(got[i] - 1 / (1 + math.exp(d[0] - d[1]))) < 1e-9
+
+
+def test_minimum_slack_is_minimal():
+    from itertools import product
+
+    from lectern.llm.packing import best_fill, plan
+
+    r = random.Random(6)
+    for _ in range(60):
+        counts = Counter(r.randint(1, 20) for _ in range(r.randint(1, 9)))
+        target = r.randint(1, 40)
+        every = (sum(k * n for k, n in zip(counts, use, strict=True)) for use in product(*(range(n + 1) for n in counts.values())))
+        got = best_fill(dict(counts), target)
+        assert sum(k * n for k, n in got.items()) == max(s for s in every if s <= target) and all(got[k] <= counts[k] for k in got)
+        first, _ = plan(dict(counts), 40)[0]
+        assert max(counts) in first  # the longest opens a window
+
+
 # empty tables
 def test_empty_tables(spark, empty):
     from lectern.llm.jaccard_join import similarity_classes
