@@ -267,3 +267,36 @@ def translate(docs: DataFrame, translator: Callable[[str], str], language: str,
             back = masking.unmask_books(out.join(own, "book_id"), code=kind == "code")  # a placeholder may have moved to another document
             out = out.drop("html").join(back.select("book_id", "path", "html"), ["book_id", "path"]).select("book_id", "path", "key", "html", "error")
     return out
+
+
+def with_documents(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Archive members with the text of ``docs`` (book_id, path, html) in place of theirs."""
+    new = docs.select("book_id", F.col("path").alias("name"), F.encode("html", "UTF-8").alias("new"))
+    return members.join(new, ["book_id", "name"], "left").select("book_id", "entry_no", "name", F.coalesce("new", "data").alias("data"))
+
+
+def repair_math_books(files: DataFrame, checkpoint) -> DataFrame:
+    """(book_id, content): books with the namespaces of their formulas repaired."""
+    from ..sources import epub
+
+    members = checkpoint(epub.entries(files))
+    return epub.write(with_documents(members, repair_math(epub.content_files(members)).where("changes > 0")))
+
+
+def translate_books(files: DataFrame, translator: Callable[[str], str], language: str, checkpoint, done: DataFrame | None = None, exclude: tuple = (), keep: tuple = (), detect: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Books (book_id, content) whose reading order is translated but for ``exclude`` and, with ``detect``, front matter that
+    isn't in ``keep``; those stay in the book, as they are. And the translations by key, for ``done`` of the next run."""
+    from ..sources import epub
+
+    table = {t: checkpoint(epub.catalog(files, t)) for t in ("spine", "manifest", "pointer")}
+    members = checkpoint(epub.entries(files))
+    docs = spine_texts(table["spine"], table["manifest"], members)
+    if detect:
+        props = table["manifest"].groupBy("book_id", "path").agg(F.max_by("properties", "pos").alias("properties"))
+        found = analyse(docs.drop("text").join(props, ["book_id", "path"], "left"), table["pointer"], list(keep))
+        docs = docs.join(found.where("excluded").select("book_id", "idref"), ["book_id", "idref"], "left_anti")
+    if exclude:
+        docs = docs.where(~F.col("idref").isin(list(exclude)))
+    chosen = docs.select("book_id", "path", "html").dropDuplicates(["book_id", "path"])
+    out = checkpoint(translate(chosen, translator, language, done, checkpoint))
+    return epub.write(with_documents(members, out.where("error = ''"))), out

@@ -163,6 +163,18 @@ def test_translation(spark):
     assert {(r.path, r.html) for r in again.where("error = ''").collect()} == {("1", "done <code>x</code>"), ("3", "done <code>x</code>")}
 
 
+def test_translated_books(spark):
+    opf = '<package><manifest><item id="cov" href="cover.xhtml"/><item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/></manifest><spine><itemref idref="cov"/><itemref idref="a"/><itemref idref="b"/></spine></package>'
+    text = {"cover.xhtml": "<body><p>Cover</p></body>", "a.xhtml": "<body><p>" + "word " * 300 + "</p><m:math><m:mi>x</m:mi></m:math></body>", "b.xhtml": "<body><p>two</p></body>"}
+    book = epub.pack([("p.opf", opf.encode()), ("mimetype", b"application/epub+zip"), *((n, t.encode()) for n, t in text.items())])
+    files = spark.createDataFrame([("k", bytearray(book))], "path string, content binary")
+    made, log = books.translate_books(files, lambda s: s.replace("word", "\u5b57").replace("two", "\u4e8c"), "Simplified Chinese", written, exclude=("b",))
+    new = unpacked(spark, made)["k"]
+    assert new["cover.xhtml"] == text["cover.xhtml"] and new["b.xhtml"] == text["b.xhtml"] and new["p.opf"] == opf and "\u5b57" in new["a.xhtml"]
+    assert [(r.path, r.error) for r in log.collect()] == [("a.xhtml", "")]
+    assert "<math xmlns=" in unpacked(spark, books.repair_math_books(files, written))["k"]["a.xhtml"]
+
+
 def test_image_places(spark):
     links = spark.createDataFrame([("b", "md/d", h) for h in ("x.png", "p/y.png", "z.png", "http://q", "w.png")], "book_id string, folder string, href string")
     files = spark.createDataFrame([("b", p) for p in ("md/d/assets/x.png", "md/d/x.png", "md/d/d/assets/y.png", "md/d/k/z.png", "other/w.png")], "book_id string, path string")
