@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..store import spread
 from . import catalog, editing, enrich, glossary, markup, masking
 
 XHTML = ["application/xhtml+xml", "text/html"]
@@ -191,7 +192,7 @@ def analyse(spine_docs: DataFrame, pointers: DataFrame, keep_ids: list[str] = ()
 
 def mine(docs: DataFrame, checkpoint, key: str = "doc_id", least: int = 1, most: int | None = None) -> DataFrame:
     """(term, freq, context, first_seq): names and acronyms of (key, text) documents, the most frequent first."""
-    rows = checkpoint(glossary.sentence_rows(docs, key))
+    rows = checkpoint(glossary.sentence_rows(spread(docs.select(key, "text")), key))
     runs = glossary.name_run_rows(rows, checkpoint(glossary.trusted_tokens(rows)), key)
     both = runs.unionByName(glossary.acronym_rows(rows, key).select(runs.columns))
     found = glossary.candidates(both, key, least)

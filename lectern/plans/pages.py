@@ -10,6 +10,7 @@ from ..functions import rules
 from ..functions import text as T
 from ..operators import books, catalog, editing, markup, masking
 from ..sources import options
+from ..store import spread
 from .base import table, written
 
 HOST, PATH, STEM = r"^[a-z]+://([^/:?#]+)", r"^[a-z]+://[^/?#]+(/[^/?#]*)", r"^[a-z]+://[^/?#]+([^?#]*)"
@@ -18,7 +19,7 @@ SCRIPTS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         "page_id", F.regexp_extract(url, HOST, 1).alias("book_id"), F.regexp_extract(url, PATH, 1).alias("path"), F.regexp_extract(url, STEM, 1).alias("file"), F.coalesce("html", F.lit("")).alias("html")
     )
 

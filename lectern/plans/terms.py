@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import books, catalog, enrich, glossary
+from ..store import spread
 from .base import table, written
 
 Q: dict = {}
@@ -25,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def sentences(spark, sf_dir) -> DataFrame:
-    return glossary.sentence_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return glossary.sentence_rows(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 # accented letters become "_" where only word bounds matter, for the oracle's \b knows ASCII alone
@@ -71,7 +72,7 @@ def sentence_counts(spark, sf_dir):
 @query()
 def name_runs(spark, sf_dir):
     rows = written(sentences(spark, sf_dir))
-    runs = glossary.name_run_rows(rows, glossary.trusted_tokens(rows))
+    runs = glossary.name_run_rows(rows, written(glossary.trusted_tokens(rows)))
     both = runs.unionByName(glossary.acronym_rows(rows).select("doc_id", "sent", "sentence", "seq", "term"))
     return glossary.candidates(both).select("term", "freq", F.md5("context").alias("context_md5"))
 

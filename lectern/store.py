@@ -29,6 +29,15 @@ def written(df: DataFrame, name: str = "plan") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, each: int = 64 << 20) -> DataFrame:
+    """``df``, dealt to all cores if its plan expects fewer than ``each`` bytes for each of them: a small table is often one
+    file of one row group, which one task would read and work on. Larger tables stay where they are read. Rows are the same
+    either way."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * each else df
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes all intermediates: when every result that was returned has been read."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lectern")
