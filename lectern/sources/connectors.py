@@ -77,11 +77,12 @@ def passing_status(statuses: list[int]) -> Callable[[Exception], bool]:
     return lambda e: e.code in statuses if isinstance(e, urllib.error.HTTPError) else isinstance(e, (urllib.error.URLError, TimeoutError, ConnectionError))
 
 
-def chat(base: str, key: str, model: str, parts: bool = False, extra: dict | None = None, max_tokens: int = 4096, timeout: float = 300, tries: int = 5, check=None, sleep=time.sleep) -> Answer:
+def chat(base: str, key: str, model: str, parts: bool = False, extra: dict | None = None, headers: dict | None = None, max_tokens: int = 4096, timeout: float = 300, tries: int = 5, check=None, sleep=time.sleep) -> Answer:
     """A connector by HTTP. ``parts``: the shape with a system field and typed parts, else that with choices. Statuses of
-    ``rules.RETRY_STATUS`` and network failures are tried again, 5 seconds later at first, 60 at most."""
+    ``rules.RETRY_STATUS`` and network failures are tried again, 5 seconds later at first, 60 at most. ``headers``: what a
+    service wants beside the key, such as a version."""
     url = endpoint(base, "messages" if parts else "chat/completions")
-    headers = {"Authorization": f"Bearer {key}"} | ({"x-api-key": key, "anthropic-version": "2023-06-01"} if parts else {})
+    sent = {"Authorization": f"Bearer {key}"} | ({"x-api-key": key} if parts else {}) | (headers or {})
 
     def answer(system: str | None, user: str) -> str:
         turns = [{"role": "user", "content": user}]
@@ -89,7 +90,7 @@ def chat(base: str, key: str, model: str, parts: bool = False, extra: dict | Non
         body |= {"system": system or "", "messages": turns} if parts else {"messages": [{"role": "system", "content": system or ""}, *turns]}
 
         def ask() -> str:
-            data = _post(url, headers, body | (extra or {}), timeout)
+            data = _post(url, sent, body | (extra or {}), timeout)
             return text_parts(data) if parts else data["choices"][0]["message"]["content"]
 
         return with_retries(ask, waits(5, 60, tries), passing_status(rules.RETRY_STATUS), check, sleep)
