@@ -3,8 +3,9 @@ exact shingle containment verifies them.
 
 Shingles are five words (lower-cased A-Z, split at ASCII white space). Templates of about the same number m of shingles
 form a class with windows made for it: blocks of B shingles (about m / 2), and a window of consecutive blocks from each
-block on, long enough to hold any m shingles in a row. So wherever a notice stands, some window holds it whole, and
-what a match at the least containment leaves of the Jaccard similarity has a floor J. Each band is one MinHash value,
+block on, long enough to hold any m + g shingles in a row, where g is how many words may be inserted (``inserted``: names,
+years, marks of comments). So wherever a notice stands with up to g words in it, some window holds it whole, and what a
+match at the least containment leaves of the Jaccard similarity has a floor J. Each band is one MinHash value,
 and the number of bands is the smallest with 1 - (1 - J) ** bands >= ``certainty``. A window whose band equals that of
 a template is compared with it: the distinct shingles of the template that the window holds, as text, over their number.
 
@@ -27,6 +28,8 @@ from .common import lower_ascii, text_bytes_col
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+#: So many inserted words are allowed at least, or a quarter of the template's shingles.
+LEAST_INSERTED = 24
 #: Templates of one scan; more are scanned in several.
 MOST_TEMPLATES = 256
 
@@ -53,10 +56,16 @@ def template_words(text: str, apart: str = SPACE) -> list[str]:
     return [w.decode() for w in low.encode().split()]
 
 
+def inserted(m: int, containment: float = CONTAINMENT) -> int:
+    """How many words in all may stand inside a template of m shingles. Each place with such words costs four shingles, so
+    a template that cannot lack four allows none."""
+    return max(LEAST_INSERTED, m // 4) if m - math.ceil(containment * m - 1e-9) >= SHINGLE - 1 else 0
+
+
 def window_shape(m: int, containment: float = CONTAINMENT, certainty: float = 0.999) -> tuple[int, int, int]:
     """(shingles of a block, blocks of a window, bands) for templates of m distinct shingles."""
     block = 1 << max(0, (m // 2).bit_length() - 1) if m > 1 else 1
-    blocks = math.ceil((m + block - 1) / block)
+    blocks = math.ceil((m + inserted(m, containment) + block - 1) / block)
     found = math.ceil(containment * m - 1e-9)
     floor = found / (block * blocks + m - found)
     bands = 1 if floor >= 1 else math.ceil(math.log(1 - certainty) / math.log(1 - floor))

@@ -399,15 +399,42 @@ def test_registered_licenses(spark, monkeypatch):
 
 
 def test_band_settings():
-    from lectern.llm.license_scan import window_shape
+    from lectern.llm.license_scan import inserted, window_shape
 
     for m in range(1, 200):
         block, blocks, bands = window_shape(m)
-        assert block * blocks >= m + block - 1  # some window holds any m shingles in a row
+        assert block * blocks >= m + inserted(m) + block - 1  # some window holds any m shingles and what is inserted
         found = math.ceil(0.8 * m - 1e-9)
         assert 1 - (1 - found / (block * blocks + m - found)) ** bands >= 0.999 - 1e-9
 
 
+def test_inserted_words(spark):
+    """Whole-text containment, whatever windows the operator makes: words inserted in the middle or in several places."""
+    from lectern.llm.license_scan import MARKS, SHINGLE, inserted, scan, template_words
+    from lectern.llm.license_texts import licenses
+
+    r = random.Random(11)
+    rows, want = [], set()
+    for name, text in licenses():
+        w = template_words(text, MARKS)
+        grams = lambda x: {tuple(x[j : j + SHINGLE]) for j in range(len(x) - SHINGLE + 1)}
+        shingles = grams(w)
+        g = inserted(len(shingles))
+        if not g:
+            continue
+        lacks = len(shingles) - math.ceil(0.8 * len(shingles) - 1e-9)
+        for places in {1, lacks // (SHINGLE - 1)}:
+            cuts, out = sorted(r.sample(range(SHINGLE, len(w) - SHINGLE), places)), []
+            for i, word in enumerate(w):
+                out += [f"own{r.randrange(10**6)}" for _ in range(g // places if i in cuts else 0)] + [word]
+            if len(shingles & grams(out)) >= 0.8 * len(shingles):
+                for at in (0, r.randrange(1, 700)):
+                    rows.append((len(rows), " ".join([f"before{k}" for k in range(at)] + out + ["after"] * 9)))
+                    want.add((len(rows) - 1, name))
+    got = {(x.doc_id, x.license_id) for x in scan(spark.createDataFrame(rows, TEXT).repartition(8), licenses(), apart=MARKS).collect()}
+    assert len(want) > 80 and want <= got, sorted(want - got)
+
+
 def test_many_templates(spark, monkeypatch):
     from lectern.llm import license_scan
 
