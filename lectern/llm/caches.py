@@ -3,12 +3,18 @@ memory that goes back at a task's end."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 #: Bytes that an entry takes beside its key and its value.
 OVERHEAD = 180
 
 
+def _length(x) -> int:
+    """The length of texts and bytes; of what has none, the size of the object."""
+    return len(x) if hasattr(x, "__len__") else sys.getsizeof(x)
+
+
 class TwoAges(dict):
     """The young entries; ``old`` holds those of the age before. When the young take ``limit`` bytes they become the old,
     and the former old are forgotten: at most 2 * limit bytes are held. Keys or values over ``longest`` bytes are not
@@ -24,14 +30,15 @@ class TwoAges(dict):
         return value
 
     def put(self, key, value) -> None:
-        if len(key) > self.longest or len(value) > 4 * self.longest:
+        k, v = _length(key), _length(value)
+        if k > self.longest or v > 4 * self.longest:
             return
         if self.size >= self.limit:
             self.old = dict(self)
             self.clear()
             self.size = 0
         self[key] = value
-        self.size += OVERHEAD + len(key) + len(value)
+        self.size += OVERHEAD + k + v
 
 
 _KEPT: dict[tuple, object] = {}
