@@ -77,6 +77,6 @@ def word_encoder(path: str):
     def make():
         from .wordids import word_ids
 
-        return word_ids(path).encode
+        return word_ids(path)
 
     return make

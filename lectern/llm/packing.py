@@ -71,8 +71,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[in
 def pieces(docs: DataFrame, encode, capacity: int = CAPACITY, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, chunk, nth): the pieces of each document, without a place yet.
 
-    ``encode``: makes the function bytes -> little-endian unsigned 32-bit ids, called in the Python worker. ``chunk``
-    and ``nth`` number the pieces of one length within the task that cut them."""
+    ``encode``: makes the function bytes -> little-endian unsigned 32-bit ids, called in the Python worker; if that has a
+    method ``many``, it gets the texts of a chunk together. ``chunk`` and ``nth`` number the pieces of one length within
+    the task that cut them."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator) -> Iterator:
@@ -80,10 +81,11 @@ def pieces(docs: DataFrame, encode, capacity: int = CAPACITY, end_id: int = 2, i
         from pyspark import TaskContext
 
         to_ids, chunk, seen = encode(), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        many = getattr(to_ids, "many", lambda texts: map(to_ids, texts))
         for t in chunks(batches, "text", chunk_bytes):
             row, start, length, crc, total, nth = [], [], [], [], [], []
-            for i, text in enumerate(utf8(t["text"])):
-                ids = to_ids(text) + end
+            for i, ids in enumerate(many(utf8(t["text"]))):
+                ids += end
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     k = min(capacity, n - s)

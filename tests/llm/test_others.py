@@ -280,6 +280,42 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(w.encode(t.encode()), dtype="<u4").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_together(monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from lectern.llm import wordids
+
+    w = wordids.WordIds(tokenizers.path("word_bpe_49k.json"))
+    whole, one = w.tokenizer, w.tokenize
+    monkeypatch.setattr(wordids, "TOGETHER", 7)
+    r = random.Random(4)
+    quotes = ["'s", "'T", "it's'll", "''s", "'sa", "'res", "'l", "'r", "'v", "x'd'd", "\"'s", "'m'", "1's2", "é'vé", "²'½x", "'", "'ß"]
+    texts = [" ".join(quotes), "", " \n\t"]
+    texts += ["".join(r.choice("aabcdeehinrstttZÉéÿµ'!.,012 \n") for _ in range(r.randint(0, 150))) for _ in range(150)]
+    texts += ["".join(r.choice("etaoiné") for _ in range(n)) for n in range(1, 33)] + ["e" * n for n in range(1, 65)]
+    w.tokenizer = w.tokenize = None  # the library is asked for none of these words
+    got = w.many([t.encode() for t in texts])
+    w.tokenizer, w.tokenize = whole, one
+    longer = ["e" * 65, "ab" * 100, "é" * 33, "x" * 255, "x" * 256, "tea's," * 500, "日本 a\u00a0b c\u00adé <b> \x7f"]
+    got += w.many([t.encode() for t in longer])
+    for t, ids in zip(texts + longer, got, strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_word_ids_are_forgotten():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from lectern.llm.wordids import WordIds
+
+    w = WordIds(tokenizers.path("word_bpe_49k.json"), cache_bytes=20_000)
+    with pytest.raises(UnicodeDecodeError):
+        w.many([b"good b\xffd"])
+    for i in range(50):
+        text = " ".join(f"w{j}" for j in range(100 * i, 100 * i + 100))
+        assert np.frombuffer(w.encode(text.encode()), dtype="<u4").tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(w.ids) == len(w.number) < 300 and w.size <= w.limit
+    merges, w.merges = w.merges, None  # a model of other rules
+    assert w.many([b"it's w7", b""]) == [w.word(b"it's") + w.word(b"w7"), b""] and merges is not None
+
+
 def test_two_ages():
     from lectern.llm.caches import TwoAges
 
