@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import written
+from ..store import BATCH_BYTES, bounded_batches, written  # noqa: F401  used by the operators
 
 #: Split size (bytes of text) up to which Python stages gather documents before they hash them together.
 CHUNK_BYTES = 4 << 20
-#: Bytes of a batch between the JVM and a Python worker.
-BATCH_BYTES = 8 << 20
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -20,16 +16,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
-def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
-    """Batches between the JVM and Python hold at most ``most`` bytes (or one row) in this session. A smaller limit that
-    the session has stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    m = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(key).strip().lower())
-    now = int(m[1]) << 10 * " kmgt".index(m[2] or " ") if m and int(m[1]) > 0 else most + 1
-    if now > most:
-        spark.conf.set(key, str(most))
-
-
 def text_bytes(rows: DataFrame, text_col: str = "text") -> int:
     """Bytes of all texts: one scan of one column."""
     return int(rows.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0)

@@ -1,10 +1,15 @@
 """Small fixtures for the cases in which a plain translation would give another answer."""
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.functions.digest import Md5
 from lectern.operators import catalog, editing, enrich, glossary, masking, messages
+from lectern.operators.ordering import joined_md5
 from lectern.plans.base import written
 from lectern.sources import epub, glossary_tsv, options
 
@@ -58,6 +63,38 @@ def test_conflicting_names(spark):
     assert {r.en: (r.confidence, r.note) for r in got.collect()} == {"Grove": ("low", "不一致待统一: Andy Grove/Grove"), "Andy Grove": ("low", "不一致待统一: Andy Grove/Grove"), "Ann": ("medium", "")}
 
 
+def test_notes_of_a_large_component(spark):
+    """30000 names in one component: their notes would hold 30000 times 30000 names."""
+    rows = spark.range(30000).selectExpr("concat('hub n', id) as en", "'y' as zh", "1L as freq", "'high' as confidence", "'' as note", "id as pos")
+    rows = written(rows.union(entries(spark, ("Hub", "x", 1), ("other", "", 1))))
+    got = glossary.conflict_digests(rows, written).groupBy("confidence", "note_md5").count().collect()
+    note = glossary.rules.NOTE_CONFLICT + "/".join(sorted(["Hub", *(f"hub n{i}" for i in range(30000))]))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert {tuple(r) for r in got} == {("low", md5(note), 30001), ("medium", md5(""), 1)}
+
+
+def test_digests_go_on_in_other_tasks(spark):
+    r = random.Random(1)
+    rows = [(g, i, "é" * r.randint(0, 90)) for g, n in ((None, 5), ("", 1), ("a", 300), ("b", 40), ("=", 1), ("c", 200)) for i in range(n)]
+    want = {g: hashlib.md5(("f:" + "\n".join(t for h, _, t in rows if h == g)).encode()).hexdigest() for g, _, _ in rows}
+    r.shuffle(rows)
+    df = spark.createDataFrame([*rows, ("gone", 0, None)], "g string, i int, t string")
+    for each in (3000, 1 << 20):
+        assert {x.g: x.md5 for x in joined_md5(df, "g", ["i"], "t", "\n", written, first="f:", each=each).collect()} == want
+
+
+def test_digest_states():
+    r = random.Random(2)
+    for n in (0, 1, 55, 56, 63, 64, 65, 200, 1000):
+        data, state = r.randbytes(n), {True: None, False: None}
+        for cut in (data[: n // 3], data[n // 3 : n // 2], data[n // 2 :]):
+            for native in state:
+                m = Md5(state[native], native)
+                m.update(cut)
+                state[native] = m.state()
+        assert {Md5(s, k).hexdigest() for k, s in state.items()} == {hashlib.md5(data).hexdigest()}
+
+
 def test_collapse_is_greedy(spark):
     got = glossary.collapse_same_value(entries(spark, ("Grove", "x", 5), ("Andy Grove", "x", 3), ("Intel", "x", 1), ("Foo", "", 1))).collect()
     assert {(r.en, r.freq, r.note) for r in got} == {("Grove", 8, "也作: Andy Grove"), ("Intel", 1, ""), ("Foo", 1, "")}
