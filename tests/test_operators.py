@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,35 @@ def test_collapse_is_greedy(spark):
     assert glossary.families(["Chip", "chip", "chipset"]) == [[0, 2], [1]]
 
 
+def plain_families(names):
+    kin = lambda a, b: a != b and (a.startswith(b) or b.startswith(a) or bool(set(a.split()) & set(b.split())))
+    low, out, left = [n.lower() for n in names], [], list(range(len(names)))
+    while left:
+        family = left[:1]
+        for i in left[1:]:
+            if any(kin(low[i], low[k]) for k in family):
+                family.append(i)
+        out.append(family)
+        left = [i for i in left if i not in family]
+    return out
+
+
+def test_families_as_by_looking_at_all_pairs():
+    r = random.Random(3)
+    for n in range(600):
+        few = r.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyzé"])
+        names = [r.choice([" ", "  "]).join("".join(r.choices(few, k=r.randint(1, 3))).title() if r.random() < 0.3 else "".join(r.choices(few, k=r.randint(0, 3))) for _ in range(r.randint(0, 3))) for _ in range(n % 40)]
+        assert glossary.families(names) == plain_families(names), names
+
+
+def test_many_families_take_no_square(spark):
+    names = [f"n{i:06}x" for i in range(60000)] + [f"n{i:06}x more" for i in range(0, 60000, 2)]  # all pairs: billions of looks
+    began = time.time()
+    found = glossary.families(names)
+    assert time.time() - began < 20
+    assert found == [[0, *range(60000, 90000)], *([i] for i in range(1, 60000))]
+
+
 def test_consistent_values(spark):
     rows = entries(spark, ("Grove", "x", 2), ("Andy Grove", "y", 1))
     fixed = spark.createDataFrame([(" Grove ", "z"), ("Andy Grove", " ")], "en string, zh string")
