@@ -156,6 +156,14 @@ def test_many_families_take_no_square(spark):
     assert found == [[0, *range(60000, 90000)], *([i] for i in range(1, 60000))]
 
 
+def test_reconciling_many_entries_of_one_value(spark):
+    """Every seventh name shares a word with the next; looking at all pairs would take hours."""
+    rows = spark.range(70000).selectExpr("concat('n', lpad(id, 6, '0'), 'x', if(id % 7 = 1, concat(' N', lpad(id - 1, 6, '0'), 'x'), '')) as en", "'v' as zh", "70000 - id as freq", "'high' as confidence", "'' as note", "id as pos")
+    began = time.time()
+    got = glossary.reconcile(written(rows), written).agg(F.count("*"), F.sum("freq"), F.count_if(F.col("note") != ""), F.max("note")).first()
+    assert time.time() - began < 90 and tuple(got) == (60000, 70000 * 70001 // 2, 10000, "也作: n069994x N069993x")
+
+
 def test_consistent_values(spark):
     rows = entries(spark, ("Grove", "x", 2), ("Andy Grove", "y", 1))
     fixed = spark.createDataFrame([(" Grove ", "z"), ("Andy Grove", " ")], "en string, zh string")
