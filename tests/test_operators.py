@@ -184,6 +184,15 @@ def test_prompt(spark):
     assert glossary.prompt("base", rows).endswith("\n- B → y\n- A → x") and glossary.prompt("base", rows.limit(0)) == "base"
 
 
+def test_masks_come_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([("b", "p", "a<code>x</code>b")], "book_id string, path string, html string")
+    for run in (lambda: masking.mask_books(docs, written), lambda: masking.unmask_books(hidden)):
+        spark.conf.unset(key)
+        hidden = run()
+        assert spark.conf.get(key) == str(8 << 20) and hidden.count() == 1
+
+
 def test_code_masks():
     html = "<pre><code>x</code></pre> <code>y</code> <code>never"
     masked, held = masking.mask_code(html)
