@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import rules
 from lectern.functions import text as T
 from lectern.functions.digest import Md5
 from lectern.operators import catalog, editing, enrich, glossary, masking, messages
@@ -45,6 +47,56 @@ def test_name_runs(spark):
     assert {t: got.get(i, []) for i, t in enumerate(lines)} == lines
 
 
+def plain_runs(sentence, trusted):
+    """The runs of a sentence's tokens, one token after the other."""
+    found = list(re.finditer(r"[A-Za-z][A-Za-z0-9.\-']*", sentence))
+    clean = lambda t: re.sub(r"^[.'’]+|[.'’]+$", "", re.sub(r"['’]s$", "", t))
+    cap = lambda t: t[:1].isupper()
+    broken = lambda a, b: any(c in rules.BREAKS for c in sentence[found[a].end() : found[b].start()])
+    names = lambda t, first: cap(t) and ((not first and t not in rules.STOP_CAPITALS) or clean(t) in trusted)
+    out, i = [], 0
+    while i < len(found):
+        if not names(found[i][0], i == 0):
+            i += 1
+            continue
+        run, j = [clean(found[i][0])], i + 1
+        while j < len(found) and not broken(j - 1, j):
+            t = found[j][0]
+            if t.lower() in rules.CONNECTORS and j + 1 < len(found):
+                if not cap(found[j + 1][0]) or broken(j, j + 1):
+                    break
+                run.append(t.lower())
+            elif names(t, False):
+                run.append(clean(t))
+            else:
+                break
+            j += 1
+        term = " ".join(run).strip(" .,'’-")
+        out += [term] if len(term) > 1 else []
+        i = j
+    return out
+
+
+def test_name_runs_token_by_token(spark):
+    r = random.Random(4)
+    words = [*rules.CONNECTORS, "Of", "De", "The", "AND", "Ford", "Yaks", "B-29", "iPhone", "x-Ray", "a.B", "Grove's", "plan", "went", "3Com", "3of", "..", "'Ford", "-Ford", "Émile", "émile", "été", "In", "I", "of.Ford", "A", "a", "(of", "Ford,", "of,", "“Ford", "7"]
+    lines = [r.choice(["", "", "(", "3 "]) + "".join(r.choice(words) + r.choice([" "] * 7 + ["  ", ", ", "-", "\t"]) for _ in range(r.randint(1, 9))).strip() for _ in range(3000)]
+    lines += ["Yaks ran.", "De ran", "Zebras ran", "word " * 20000 + "the Ford " * 20000, "a" * 200000 + "Ford"]
+    trusted = {"Yaks", "De", "In", "A"}
+    sentences = spark.createDataFrame([(i, 0, t) for i, t in enumerate(lines)], "doc_id long, sent int, sentence string")
+    got = [[] for _ in lines]
+    for x in glossary.name_run_rows(sentences, spark.createDataFrame([(t,) for t in trusted], "token string")).orderBy("doc_id", "seq").select("doc_id", "term").collect():
+        got[x.doc_id].append(x.term)
+    wrong = [(t[:200], g[:5], plain_runs(t, trusted)[:5]) for t, g in zip(lines, got, strict=True) if g != plain_runs(t, trusted)]
+    assert not wrong, wrong[:5]
+
+
+def test_plain_words_are_left_out(spark):
+    lines = ["so it went with the Bank of many words of England, and of (the Ford) x-Ray was here", "Yaks ran to the hills", "Bank of England and the Ford of old"]
+    got = spark.createDataFrame([(t,) for t in lines], "s string").select(glossary.without_plain_words(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["x Bank x England, x Ford) x-Ray x ", "Yaks x ", "Bank of England x Ford x "]
+
+
 def entries(spark, *rows):
     return spark.createDataFrame([(en, zh, n, "medium", "", i) for i, (en, zh, n) in enumerate(rows)], "en string, zh string, freq long, confidence string, note string, pos long")
 
